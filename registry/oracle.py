@@ -1,8 +1,8 @@
 """The same queries as DuckDB SQL over the driver tables.
 
 Every statement reads the study-shaped views below, written once as common
-table expressions and pulled in by name.  Fractional outputs are rounded like
-the Spark side's.
+table expressions and pulled in by name.  Fitted values are rounded like the Spark
+side's; all other arithmetic is the same to the last bit.
 """
 
 from __future__ import annotations
@@ -259,7 +259,7 @@ _STATEMENTS = {
         select pitcher_id || ':' || game_id as pitcher_game, cast(pitcher_id as integer) as player_id,
           cast(game_id as integer) as game_id
         from pitch""",
-    "speed_mph": "select play_id, round(0.681818 * release_speed, 6) as release_speed_mph from pitch",
+    "speed_mph": "select play_id, 0.681818 * release_speed as release_speed_mph from pitch",
     "left_join_player": "select r.*, p.name_full, p.position from rollup_ r left join player p using (player_id)",
     "prior_year_join": """
         select r.*, p.pitches as previous_pitches
@@ -282,10 +282,9 @@ _STATEMENTS = {
         from season_by_file""",
     "duplicate_injuries": """
         select player_id, year, count(*) as n from injury group by player_id, year having count(*) > 1""",
-    "reconcile_vendor": """
-        select player_id, year, level, pitches, round(fb_velo, 6) as fb_velo from minors_blend""",
-    "reconcile_level": "select player_id, year, pitches, round(fb_velo, 6) as fb_velo from tracking",
-    "pitch_tracking": "select player_id, year, pitches, round(fb_velo, 6) as fb_velo from tracking",
+    "reconcile_vendor": "select * from minors_blend",
+    "reconcile_level": "select * from tracking",
+    "pitch_tracking": "select * from tracking",
     "listed_surgeries": "select * from listed",
     "ucl_injury": "select * from injury",
     "surgeries_by_year_level": """
@@ -302,7 +301,7 @@ _STATEMENTS = {
           select level, cast(ceil((year - lo) * 14 / width + 0.5) - 1 as integer) as bin, count(*) as n
           from rows_, span group by all),
         grid as (select distinct level, bin from rows_, (select unnest(range(15)) as bin))
-        select g.level, cast(g.bin as integer) as bin, round(lo + width * g.bin / 14, 6) as center,
+        select g.level, cast(g.bin as integer) as bin, lo + width * g.bin / 14 as center,
           cast(coalesce(c.n, 0) as bigint) as n
         from grid g cross join span
         left join counts c on g.level is not distinct from c.level and g.bin = c.bin""",
@@ -312,32 +311,25 @@ _STATEMENTS = {
         select year, level, date_surgery is not null as injury, count(*) as n from cohort group by all""",
     "injury_rate_year_level": """
         select year, level, yes as injured, no as uninjured, yes + no as count,
-          round(yes / (yes + no), 6) as injury_rate
+          yes / (yes + no) as injury_rate
         from (
           select year, level, nullif(count(date_surgery), 0) as yes,
             nullif(count(*) - count(date_surgery), 0) as no
           from cohort group by year, level)""",
-    "velo_injury_cohort": "select * replace (round(fb_velo, 6) as fb_velo) from velo_cohort",
+    "velo_injury_cohort": "select * from velo_cohort",
     "velo_missing_rate": """
-        select year, level_pss, round(avg(cast(fb_velo is null as double)), 6) as missing_rate
+        select year, level_pss, avg(cast(fb_velo is null as double)) as missing_rate
         from velo_cohort where year > 2012 group by all""",
     "baseline_cohort": "select * from baseline",
-    "baseline_risk": """
-        select year, role, count, round(injury_rate, 6) as injury_rate from baseline_rates
-        order by role nulls last, year nulls last""",
+    "baseline_risk": "select * from baseline_rates order by role nulls last, year nulls last",
     "baseline_risk_display": """
         select year, role, count, round(injury_rate, 3) as injury_rate from baseline_rates""",
     "pitch_sequence": "select game_id, pitcher_id, play_id, pitch_number from enriched",
-    "pitch_enriched": """
-        select * replace (round(release_speed, 6) as release_speed,
-          round(release_speed_mph, 6) as release_speed_mph) from enriched""",
+    "pitch_enriched": "select * from enriched",
     "pitch_type_counts": "select pitcher_id, pitch_type, count(*) as n from pitch group by all",
     "primary_pitch": "select * from primary_type",
-    "starters": "select * replace (round(pitches_per_game, 6) as pitches_per_game) from starter",
-    "pitch_model_data": """
-        select * replace (round(release_speed, 6) as release_speed,
-          round(release_speed_mph, 6) as release_speed_mph,
-          round(pitches_per_game, 6) as pitches_per_game) from model_rows""",
+    "starters": "select * from starter",
+    "pitch_model_data": "select * from model_rows",
     "km_by_role": _km("role"),
     "km_by_level": _km("level"),
     "velo_ols_game": """

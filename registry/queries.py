@@ -18,20 +18,27 @@ Query = Callable[[SparkSession, str], DataFrame]
 # The driver tables hold 1 to 10 pitches per pitcher and day.
 STARTER_PITCHES = 2.5
 
-# Decimal places kept of every fractional output.
+# Decimal places kept of fitted values.
 DIGITS = 6
 
 _QUERIES: dict[str, Query] = {}
 
 
 def _query(build: Callable[[DriverViews], DataFrame]) -> Callable[[DriverViews], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = build(DriverViews(spark, sf_dir))
+    _QUERIES[build.__name__] = lambda spark, sf_dir: build(DriverViews(spark, sf_dir))
+    return build
+
+
+def _fit(build: Callable[[DriverViews], DataFrame]) -> Callable[[DriverViews], DataFrame]:
+    """A query whose sums, logs or exponentials differ in the last digits between engines."""
+
+    def rounded(v: DriverViews) -> DataFrame:
+        result = build(v)
         fractional = [n for n, t in result.dtypes if t == "double"]
         return result.withColumns({n: F.round(n, DIGITS) for n in fractional})
 
-    _QUERIES[build.__name__] = run
-    return build
+    rounded.__name__ = build.__name__
+    return _query(rounded)
 
 
 def all_queries() -> dict[str, Query]:
@@ -344,47 +351,47 @@ def _stratum(v: DriverViews, stratum: str) -> DataFrame:
     return survival.injury_km(_survival_cohort(v), stratum)
 
 
-@_query
+@_fit
 def km_by_role(v: DriverViews) -> DataFrame:
     return _stratum(v, "role")
 
 
-@_query
+@_fit
 def km_by_level(v: DriverViews) -> DataFrame:
     return _stratum(v, "level")
 
 
-@_query
+@_fit
 def cox_fit(v: DriverViews) -> DataFrame:
     return survival.injury_cox(_survival_cohort(v)).table()
 
 
-@_query
+@_fit
 def cox_curve(v: DriverViews) -> DataFrame:
     return survival.injury_cox_curve(_survival_cohort(v))
 
 
-@_query
+@_fit
 def velo_ols_game(v: DriverViews) -> DataFrame:
     return velocity.velo_ols_game(_model_data(v))
 
 
-@_query
+@_fit
 def velo_decay_fixed(v: DriverViews) -> DataFrame:
     return velocity.velo_decay(_model_data(v)).fixed_effects()
 
 
-@_query
+@_fit
 def velo_decay_pitcher(v: DriverViews) -> DataFrame:
     return velocity.pitcher_effects(velocity.velo_decay(_model_data(v)), v.player())
 
 
-@_query
+@_fit
 def velo_decay_game(v: DriverViews) -> DataFrame:
     return velocity.game_effects(velocity.velo_decay(_model_data(v)), v.player(), v.game())
 
 
-@_query
+@_fit
 def velo_fitted(v: DriverViews) -> DataFrame:
     model_data = _model_data(v)
     effects = velocity.game_effects(velocity.velo_decay(model_data), v.player(), v.game())
