@@ -235,16 +235,22 @@ def year_histogram(v: DriverViews) -> DataFrame:
 # Seasons and cohorts
 
 
+def _staged_injuries(v: DriverViews) -> DataFrame:
+    """Consolidated injuries written once: the cohort checks and joins them."""
+    return stage(_injuries(v), "injuries")
+
+
 def _survival_cohort(v: DriverViews) -> DataFrame:
-    return cohort.survival_cohort(v.season(), v.player(), _injuries(v))
+    return cohort.survival_cohort(v.season(), v.player(), _staged_injuries(v))
 
 
 def _velo_cohort(v: DriverViews) -> DataFrame:
-    return cohort.velo_injury_cohort(v.season(), v.player(), _injuries(v), _tracking(v))
+    return cohort.velo_injury_cohort(v.season(), v.player(), _staged_injuries(v), _tracking(v))
 
 
 def _baseline(v: DriverViews) -> DataFrame:
-    return cohort.baseline_cohort(v.season_by_file(), _listed(v), v.player())
+    season_files = stage(v.season_by_file(), "season-files")
+    return cohort.baseline_cohort(season_files, _listed(v), v.player())
 
 
 @_query

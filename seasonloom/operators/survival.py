@@ -59,6 +59,8 @@ def kaplan_meier(
     per_time = rows.groupBy(*strata, "time").agg(
         F.count_if("event").alias("n_event"), F.count_if(~F.col("event")).alias("n_censor")
     )
+    # Read several times below, and far smaller than the rows it came from.
+    per_time = stage(per_time, "survival-times")
     at_risk = _risk_sets(per_time, strata, {"n_risk": F.col("n_event") + F.col("n_censor")})
 
     d, n = F.col("n_event"), F.col("n_risk")

@@ -6,12 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seasonloom.operators.joins import left_join
+from seasonloom.operators.joins import HOT_ROWS, left_join
 from seasonloom.session import stage
 
-# A group above this many rows is numbered in range chunks, not in one task.
-HOT_ROWS = 5_000_000
-
 # Whole-number positions per chunk of a running total.
 CHUNK_WIDTH = 4096
 

@@ -8,6 +8,7 @@ from seasonloom.functions.scalar import if_else, null_or, ratio
 from seasonloom.operators.aggregate import at_largest, flag_rate, missing_share, strict_sum
 from seasonloom.operators.joins import full_join, left_join, prior_year
 from seasonloom.operators.windows import fill_down
+from seasonloom.session import stage
 
 STARTER_PITCHES = 75
 MIN_BATTERS = 27
@@ -82,8 +83,13 @@ def survival_cohort(
     min_batters: int = MIN_BATTERS,
     first_year: int = FIRST_YEAR,
 ) -> DataFrame:
-    """Player-seasons at risk with their injury and last year's pitch count."""
-    rollup = season_rollup(seasons, starter_pitches)
+    """Player-seasons at risk with their injury and last year's pitch count.
+
+    The roll-up is written once: it is read for the seasons and again for the
+    years before them, and the two reads need different columns, so Spark would
+    otherwise scan and group the raw seasons twice.
+    """
+    rollup = stage(season_rollup(seasons, starter_pitches), "season-rollup")
     cohort = _with_injuries(eligible_seasons(rollup, player, min_batters), injuries, first_year)
     previous = prior_year(rollup, "player_id", {"pitches": "previous_pitches"})
     return left_join(cohort, previous, ["year", "player_id"]).select(

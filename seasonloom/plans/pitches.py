@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from seasonloom.functions.scalar import fps_to_mph, ratio
 from seasonloom.operators.aggregate import group_count
-from seasonloom.operators.joins import inner_join, left_join
-from seasonloom.operators.windows import HOT_ROWS, first_ranked, running_index
+from seasonloom.operators.joins import HOT_ROWS, inner_join, left_join
+from seasonloom.operators.windows import first_ranked, running_index
 
 STARTER_PITCHES = 75
 FASTBALLS = ("FF", "SI")

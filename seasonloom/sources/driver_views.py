@@ -27,10 +27,9 @@ PITCH_TYPE = {"click": "FF", "view": "SI", "error": "SL", "purchase": "CH", "sig
 
 
 def _recode(name: str, mapping: dict[str, str]) -> Column:
-    value = F.lit(None).cast("string")
-    for old, new in mapping.items():
-        value = F.when(F.col(name) == old, new).otherwise(value)
-    return value
+    """Value per listed code, missing for any other; one expression call."""
+    branches = " ".join(f"when '{old}' then '{new}'" for old, new in mapping.items())
+    return F.expr(f"case {name} {branches} end")
 
 
 class DriverViews:
@@ -39,9 +38,13 @@ class DriverViews:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """One scan definition per table, so its footer is read once."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def player(self) -> DataFrame:
         segment = F.col("c_mktsegment")
