@@ -127,11 +127,16 @@ def _pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def _standardised(names: Sequence[str], center: np.ndarray, scale: np.ndarray) -> list[Column]:
-    return [(F.col(n) - float(c)) / float(s) for n, c, s in zip(names, center, scale)]
+def _standardised(names: Sequence[str], center: np.ndarray, scale: np.ndarray) -> list[str]:
+    """Covariates in standard units, as SQL text: each iteration writes new formulas."""
+    return [f"((`{n}` - {float(c)!r}D) / {float(s)!r}D)" for n, c, s in zip(names, center, scale)]
 
 
-def _tied_terms(reduced: DataFrame, z: list[Column], beta: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def _sum_all(**terms: str) -> list[Column]:
+    return [F.expr(f"sum({e}) as {name}") for name, e in terms.items()]
+
+
+def _tied_terms(reduced: DataFrame, z: list[str], beta: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """Risk sets per time, and one row per tied event with its share-adjusted sums.
 
     Events tied at one time leave the risk set one by one on average (Efron).
@@ -139,49 +144,39 @@ def _tied_terms(reduced: DataFrame, z: list[Column], beta: np.ndarray) -> tuple[
     shuffle, so no task expands more than its share.
     """
     p = len(z)
-    eta = sum((float(b) * x for b, x in zip(beta, z)), F.lit(0.0))
-    weight = F.col("n") * F.exp(eta)
-    sums = {"0": F.lit(1.0)} | {f"1_{i}": z[i] for i in range(p)}
-    sums |= {f"2_{i}{j}": z[i] * z[j] for i, j in _pairs(p)}
-    happened = F.col("event")
-    per_time = reduced.groupBy("time").agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(happened, F.col("n")).otherwise(0)).alias("n_event"),
-        F.sum(F.when(happened, F.col("n") * eta).otherwise(0.0)).alias("eta"),
-        *(F.sum(F.when(happened, F.col("n") * z[i]).otherwise(0.0)).alias(f"x_{i}") for i in range(p)),
-        *(F.sum(weight * e).alias("a" + k) for k, e in sums.items()),
-        *(F.sum(F.when(happened, weight * e).otherwise(0.0)).alias("e" + k) for k, e in sums.items()),
+    eta = " + ".join(f"{float(b)!r}D * {x}" for b, x in zip(beta, z))
+    columns = {f"x_{i}": x for i, x in enumerate(z)} | {"eta": eta}
+    rows = reduced.selectExpr("*", *(f"{e} as {name}" for name, e in columns.items()))
+    rows = rows.selectExpr("*", "n * exp(eta) as weight", "if(event, n, 0) as n_hit")
+    rows = rows.withColumn("w_hit", F.expr("if(event, weight, 0D)"))
+
+    moments = {"0": "1"} | {f"1_{i}": f"x_{i}" for i in range(p)}
+    moments |= {f"2_{i}{j}": f"x_{i} * x_{j}" for i, j in _pairs(p)}
+    xs = [f"x_{i}" for i in range(p)]
+    per_time = rows.groupBy("time").agg(
+        *_sum_all(n_rows="n", n_event="n_hit", eta="n_hit * eta", **{x: f"n_hit * {x}" for x in xs}),
+        *_sum_all(**{"a" + k: f"weight * {e}" for k, e in moments.items()}),
+        *_sum_all(**{"e" + k: f"w_hit * {e}" for k, e in moments.items()}),
     )
-    risk = {"s" + k: F.col("a" + k) for k in sums} | {"n_risk": F.col("n_rows")}
-    at_risk = _risk_sets(per_time, [], risk).drop(*("a" + k for k in sums))
+    risk = {"s" + k: F.col("a" + k) for k in moments} | {"n_risk": F.col("n_rows")}
+    at_risk = _risk_sets(per_time, [], risk).drop(*("a" + k for k in moments))
 
-    tied = at_risk.where("n_event > 0").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_event") - 1) / TIE_BLOCK)))
-    )
-    tied = tied.repartition("time", "block")
-    last = F.least((F.col("block") + 1) * TIE_BLOCK, F.col("n_event")) - 1
-    tied = tied.withColumn("l", F.explode(F.sequence(F.col("block") * TIE_BLOCK, last)))
-    share = F.col("l") / F.col("n_event")
-    phi = {k: F.col("s" + k) - share * F.col("e" + k) for k in sums}
-    tied = tied.select(
-        "time", "l", "n_event", "eta", *(f"x_{i}" for i in range(p)),
-        *(e.alias("phi" + k) for k, e in phi.items()),
-    )
-    return at_risk, tied
+    blocks = f"explode(sequence(0L, cast(floor((n_event - 1) / {TIE_BLOCK}) as bigint))) as block"
+    tied = at_risk.where("n_event > 0").selectExpr("*", blocks).repartition("time", "block")
+    last = f"least((block + 1) * {TIE_BLOCK}, n_event) - 1"
+    tied = tied.selectExpr("*", f"explode(sequence(block * {TIE_BLOCK}, {last})) as l")
+    phi = [f"s{k} - l / n_event * e{k} as phi{k}" for k in moments]
+    return at_risk, tied.selectExpr("time", "l", "eta", *xs, *phi)
 
 
-def _score(reduced: DataFrame, z: list[Column], beta: np.ndarray):
+def _score(reduced: DataFrame, z: list[str], beta: np.ndarray):
     """Log-likelihood, gradient and information at ``beta``: one job, one small row."""
     p = len(z)
     _, tied = _tied_terms(reduced, z, beta)
-    first = F.col("l") == 0
-    mean = [F.col(f"phi1_{i}") / F.col("phi0") for i in range(p)]
-    columns = [
-        F.sum(F.when(first, F.col("eta")).otherwise(0.0) - F.log("phi0")),
-        *(F.sum(F.when(first, F.col(f"x_{i}")).otherwise(0.0) - mean[i]) for i in range(p)),
-        *(F.sum(F.col(f"phi2_{i}{j}") / F.col("phi0") - mean[i] * mean[j]) for i, j in _pairs(p)),
-    ]
-    row = tied.agg(*(c.alias(f"c{i}") for i, c in enumerate(columns))).first()
+    terms = ["if(l = 0, eta, 0D) - ln(phi0)"]
+    terms += [f"if(l = 0, x_{i}, 0D) - phi1_{i} / phi0" for i in range(p)]
+    terms += [f"phi2_{i}{j} / phi0 - phi1_{i} * phi1_{j} / (phi0 * phi0)" for i, j in _pairs(p)]
+    row = tied.agg(*_sum_all(**{f"c{i}": e for i, e in enumerate(terms)})).first()
     values = np.array([float(v) for v in row])
     info = np.zeros((p, p))
     for (i, j), v in zip(_pairs(p), values[1 + p :]):
@@ -280,14 +275,9 @@ def cox_curve(fit: CoxFit, at: dict[str, float] | None = None, level: float = 0.
     risk = float(np.exp(point @ beta))
 
     at_risk, tied = _tied_terms(fit.reduced, z, beta)
-    phi0 = F.col("phi0")
+    q = {f"d_q{i}": f"(phi1_{i} / phi0 - {float(point[i])!r}D) / phi0" for i in range(p)}
     jumps = tied.groupBy("time").agg(
-        F.sum(1 / phi0).alias("d_hazard"),
-        F.sum(1 / phi0**2).alias("d_variance"),
-        *(
-            F.sum((F.col(f"phi1_{i}") / phi0 - float(point[i])) / phi0).alias(f"d_q{i}")
-            for i in range(p)
-        ),
+        *_sum_all(d_hazard="1 / phi0", d_variance="1 / (phi0 * phi0)", **q)
     )
     names = ["hazard", "variance", *(f"q{i}" for i in range(p))]
     steps = at_risk.select("time", "n_risk", "n_event", (F.col("n_rows") - F.col("n_event")).alias("n_censor"))

@@ -19,6 +19,7 @@ from seasonloom.session import stage
 
 # Symmetric 2 x 2 matrices are kept as columns 11, 12 and 22.
 _SYM = ("11", "12", "22")
+_ALL = [(i, j) for i in (0, 1) for j in (0, 1)]
 
 
 def line_sums(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
@@ -43,35 +44,49 @@ def ols_by_group(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFram
     )
 
 
-def _shrink(prefix: str, vector: str, cov: np.ndarray) -> dict[str, Column]:
+def _num(value: float) -> str:
+    """SQL double literal."""
+    return f"({float(value)!r}D)"
+
+
+def _add(*terms: str) -> str:
+    return "(" + " + ".join(terms) + ")"
+
+
+def _mul(*factors: str) -> str:
+    return "(" + " * ".join(factors) + ")"
+
+
+def _shrink(prefix: str, vector: str, cov: np.ndarray) -> list[str]:
     """(I + S L)^-1 applied to the matrix S and to a vector, and log det(I + S L).
 
     S and the vector are columns, L the 2 x 2 relative covariance of one level's
-    random effects.  No inverse of L appears, so L may be singular.
+    random effects.  No inverse of L appears, so L may be singular.  Formulas
+    are SQL text, because each fit evaluates many of them with new numbers.
     """
-    s11, s12, s22 = (F.col(prefix + c) for c in _SYM)
-    v1, v2 = F.col(vector + "1"), F.col(vector + "2")
-    l11, l12, l22 = float(cov[0, 0]), float(cov[0, 1]), float(cov[1, 1])
-    w11, w12 = 1 + s11 * l11 + s12 * l12, s11 * l12 + s12 * l22
-    w21, w22 = s12 * l11 + s22 * l12, 1 + s12 * l12 + s22 * l22
+    s11, s12, s22 = (prefix + c for c in _SYM)
+    v1, v2 = vector + "1", vector + "2"
+    l11, l12, l22 = _num(cov[0, 0]), _num(cov[0, 1]), _num(cov[1, 1])
+    w11, w12 = f"(1 + {s11} * {l11} + {s12} * {l12})", f"({s11} * {l12} + {s12} * {l22})"
+    w21, w22 = f"({s12} * {l11} + {s22} * {l12})", f"(1 + {s12} * {l12} + {s22} * {l22})"
     # |I + S L| expanded so that a nearly singular S loses no digits.
-    det = 1 + s11 * l11 + 2 * s12 * l12 + s22 * l22
-    det = det + (s11 * s22 - s12 * s12) * (l11 * l22 - l12 * l12)
-    return {
-        "m11": (w22 * s11 - w12 * s12) / det,
-        "m12": (w22 * s12 - w12 * s22) / det,
-        "m22": (w11 * s22 - w21 * s12) / det,
-        "m1": (w22 * v1 - w12 * v2) / det,
-        "m2": (w11 * v2 - w21 * v1) / det,
-        "logdet": F.log(det),
-    }
-
-
-def _explained(vector: str, shrunk: str, cov: np.ndarray) -> Column:
+    det = (
+        f"(1 + {s11} * {l11} + 2 * {s12} * {l12} + {s22} * {l22}"
+        f" + ({s11} * {s22} - {s12} * {s12}) * {_num(cov[0, 0] * cov[1, 1] - cov[0, 1] ** 2)})"
+    )
+    return [
+        f"({w22} * {s11} - {w12} * {s12}) / {det} as m11",
+        f"({w22} * {s12} - {w12} * {s22}) / {det} as m12",
+        f"({w11} * {s22} - {w21} * {s12}) / {det} as m22",
+        f"({w22} * {v1} - {w12} * {v2}) / {det} as m1",
+        f"({w11} * {v2} - {w21} * {v1}) / {det} as m2",
+        f"ln({det}) as logdet",
+    ]
+
+
+def _explained(vector: str, shrunk: str, cov: np.ndarray) -> str:
     """v' L w, the part of the sum of squares a level's random effects take up."""
-    v = [F.col(vector + i) for i in "12"]
-    w = [F.col(shrunk + i) for i in "12"]
-    return sum((v[i] * float(cov[i, j]) * w[j] for i in (0, 1) for j in (0, 1)), F.lit(0.0))
+    return _add(*(_mul(f"{vector}{i + 1}", _num(cov[i, j]), f"{shrunk}{j + 1}") for i, j in _ALL))
 
 
 def _sym(a, b, c) -> np.ndarray:
@@ -93,6 +108,7 @@ class MixedFit:
     reml: bool
     sums: "_NestedSums"
     params: np.ndarray
+    fitted_fixed: np.ndarray
 
     def fixed_effects(self) -> DataFrame:
         rows = [("intercept", float(self.fixed[0])), ("slope", float(self.fixed[1]))]
@@ -100,18 +116,15 @@ class MixedFit:
 
     def _deviations(self) -> DataFrame:
         """Outer random lines on the fitting scale, and a = fixed + outer effect."""
-        state = self.sums.evaluate(self.params, self.reml)
-        outer = self.sums.outer_table(*_covariances(self.params))
-        h = _residual(state["beta"])
-        cov_b = _covariances(self.params)[0]
-        b = [float(cov_b[i, 0]) * h[0] + float(cov_b[i, 1]) * h[1] for i in (0, 1)]
-        beta = state["beta"]
+        cov_b, cov_c = _covariances(self.params)
+        beta = self.fitted_fixed
+        outer = self.sums.outer_table(cov_b, cov_c).selectExpr(self.outer, *_predicted(beta, cov_b))
         return outer.select(
             self.outer,
-            b[0].alias("b1"),
-            b[1].alias("b2"),
-            (b[0] + float(beta[0])).alias("a1"),
-            (b[1] + float(beta[1])).alias("a2"),
+            "a1",
+            "a2",
+            (F.col("a1") - float(beta[0])).alias("b1"),
+            (F.col("a2") - float(beta[1])).alias("b2"),
         )
 
     def _line(self, first: Column, second: Column) -> tuple[Column, Column]:
@@ -144,13 +157,19 @@ class MixedFit:
         return rows.select(self.outer, self.inner, *self._line(*c))
 
 
-def _residual(beta: np.ndarray) -> tuple[Column, Column]:
+def _residual(beta: np.ndarray) -> tuple[str, str]:
     """m - M beta for one outer group."""
-    b1, b2 = float(beta[0]), float(beta[1])
-    return (
-        F.col("m1") - F.col("m11") * b1 - F.col("m12") * b2,
-        F.col("m2") - F.col("m12") * b1 - F.col("m22") * b2,
-    )
+    b1, b2 = _num(beta[0]), _num(beta[1])
+    return f"(m1 - m11 * {b1} - m12 * {b2})", f"(m2 - m12 * {b1} - m22 * {b2})"
+
+
+def _predicted(beta: np.ndarray, cov_b: np.ndarray) -> list[str]:
+    """a = beta + L (m - M beta), the outer group's own line, as columns a1 and a2."""
+    h = _residual(beta)
+    return [
+        _add(_num(beta[i]), *(_mul(_num(cov_b[i, j]), h[j]) for j in (0, 1))) + f" as a{i + 1}"
+        for i in (0, 1)
+    ]
 
 
 def _covariances(params: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +211,7 @@ class _NestedSums:
         )
 
     def inner_table(self, cov_c: np.ndarray) -> DataFrame:
-        return self.games.withColumns(_shrink("s", "r", cov_c))
+        return self.games.selectExpr("*", *_shrink("s", "r", cov_c))
 
     def outer_table(self, cov_b: np.ndarray, cov_c: np.ndarray) -> DataFrame:
         """Inner groups summed per outer group, then shrunk once more.
@@ -200,32 +219,23 @@ class _NestedSums:
         Every column is a plain sum, so an outer group with very many inner
         groups is combined before the shuffle.
         """
-        m = {c: F.col("m" + c) for c in _SYM}
-        v = {i: F.col("m" + i) for i in "12"}
-        products = {f"kk{i}{j}": v[i] * v[j] for i, j in ("11", "12", "22")}
-        products |= {f"kv{i}_{c}": v[i] * m[c] for i in "12" for c in _SYM}
-        products |= {f"km{a}_{b}": m[a] * m[b] for n, a in enumerate(_SYM) for b in _SYM[n:]}
+        sums = {"a" + c: "m" + c for c in _SYM} | {"u" + i: "m" + i for i in "12"}
+        sums |= {"yy": "yy - " + _explained("r", "m", cov_c), "inner_logdet": "logdet"}
+        sums |= {f"kk{i}{j}": f"m{i} * m{j}" for i, j in _SYM}
+        sums |= {f"kv{i}_{c}": f"m{i} * m{c}" for i in "12" for c in _SYM}
+        sums |= {f"km{a}_{b}": f"m{a} * m{b}" for n, a in enumerate(_SYM) for b in _SYM[n:]}
         per_outer = self.inner_table(cov_c).groupBy(self.outer).agg(
-            *(F.sum(m[c]).alias("a" + c) for c in _SYM),
-            *(F.sum(v[i]).alias("u" + i) for i in "12"),
-            F.sum(F.col("yy") - _explained("r", "m", cov_c)).alias("yy"),
-            F.sum("logdet").alias("inner_logdet"),
-            *(F.sum(e).alias(name) for name, e in products.items()),
+            *(F.expr(f"sum({e}) as {name}") for name, e in sums.items())
         )
-        return per_outer.withColumns(_shrink("a", "u", cov_b))
+        return per_outer.selectExpr("*", *_shrink("a", "u", cov_b))
 
     def evaluate(self, params: np.ndarray, reml: bool, table: DataFrame | None = None) -> dict:
         """Profiled criterion, fixed effects and residual variance: one small row."""
         cov_b, cov_c = _covariances(params)
         table = self.outer_table(cov_b, cov_c) if table is None else table
-        row = table.agg(
-            F.sum(F.col("yy") - _explained("u", "m", cov_b)),
-            F.sum(F.col("logdet") + F.col("inner_logdet")),
-            *(F.sum("m" + c) for c in _SYM),
-            F.sum("m1"),
-            F.sum("m2"),
-        ).first()
-        square, logdet, m11, m12, m22, m1, m2 = (float(v) for v in row)
+        terms = ["yy - " + _explained("u", "m", cov_b), "logdet + inner_logdet"]
+        terms += ["m11", "m12", "m22", "m1", "m2"]
+        square, logdet, m11, m12, m22, m1, m2 = _global_sums(table, terms)
         information = _sym(m11, m12, m22)
         beta = np.linalg.solve(information, [m1, m2])
         freedom = self.n - 2 if reml else self.n
@@ -243,35 +253,34 @@ class _NestedSums:
     def gradient(self, params: np.ndarray, state: dict, reml: bool, table: DataFrame) -> np.ndarray:
         """Derivative of the criterion by the six Cholesky factors: six sums."""
         cov_b, _ = _covariances(params)
-        variance = state["variance"]
         w = state["beta_cov"] if reml else np.zeros((2, 2))
-        h = _residual(state["beta"])
-        m = _matrix(F.col("m11"), F.col("m12"), F.col("m22"))
-        identity, fixed = np.eye(2), state["beta"]
-        a = [float(fixed[i]) + float(cov_b[i, 0]) * h[0] + float(cov_b[i, 1]) * h[1] for i in (0, 1)]
-        # T = L - L M L and F = I - L M, so that R = T + F W F'.
-        lm = [[sum(float(cov_b[i, k]) * m[k][j] for k in (0, 1)) for j in (0, 1)] for i in (0, 1)]
-        f = [[float(identity[i, j]) - lm[i][j] for j in (0, 1)] for i in (0, 1)]
-        r = [
-            [
-                float(cov_b[i, j])
-                - sum(lm[i][k] * float(cov_b[k, j]) for k in (0, 1))
-                + sum(f[i][k] * float(w[k, l]) * f[j][l] for k in (0, 1) for l in (0, 1))
-                for j in (0, 1)
-            ]
-            for i in (0, 1)
+        inverse = _num(1 / state["variance"])
+        h = [f"{e} as h{i + 1}" for i, e in enumerate(_residual(state["beta"]))]
+        # F = I - L M, and T = L - L M L = F L.
+        f = [
+            f"{_num(i == j)} - {_add(*(_mul(_num(cov_b[i, k]), 'm' + _name(k, j)) for k in (0, 1)))}"
+            f" as f{i + 1}{j + 1}"
+            for i, j in _ALL
         ]
+        r = []
+        for i, j in ((0, 0), (0, 1), (1, 1)):
+            shrunk = [_mul(f"f{i + 1}{k + 1}", _num(cov_b[k, j])) for k in (0, 1)]
+            fixed = [_mul(f"f{i + 1}{k + 1}", _num(w[k, l]), f"f{j + 1}{l + 1}") for k, l in _ALL]
+            r.append(f"{_add(*shrunk, *fixed)} as r{_name(i, j)}")
+        rows = table.selectExpr("*", *h, *_predicted(state["beta"], cov_b), *f).selectExpr("*", *r)
         sums = []
         for p, q in ((0, 0), (0, 1), (1, 1)):
-            mwm = sum(m[p][k] * float(w[k, l]) * m[l][q] for k in (0, 1) for l in (0, 1))
-            sums.append(h[p] * h[q] / variance - m[p][q] + mwm)
+            mwm = [_mul("m" + _name(p, k), _num(w[k, l]), "m" + _name(l, q)) for k, l in _ALL]
+            sums.append(f"h{p + 1} * h{q + 1} * {inverse} - m{_name(p, q)} + {_add(*mwm)}")
         for p, q in ((0, 0), (0, 1), (1, 1)):
-            outer = sum(_km(p, k, l, q) * a[k] * a[l] for k in (0, 1) for l in (0, 1))
-            cross = sum((_kv(p, q, k) + _kv(q, p, k)) * a[k] for k in (0, 1))
-            square = (F.col(f"kk{p + 1}{q + 1}") - cross + outer) / variance
-            kernel = sum(_km(p, k, l, q) * r[k][l] for k in (0, 1) for l in (0, 1))
-            sums.append(square - F.col("a" + _name(p, q)) + kernel)
-        row = [float(v) for v in table.agg(*(F.sum(s) for s in sums)).first()]
+            outer = _add(*(_mul(_km(p, k, l, q), f"a{k + 1}", f"a{l + 1}") for k, l in _ALL))
+            cross = _add(
+                *(_mul(_add(_kv(p, q, k), _kv(q, p, k)), f"a{k + 1}") for k in (0, 1))
+            )
+            kernel = _add(*(_mul(_km(p, k, l, q), "r" + _name(k, l)) for k, l in _ALL))
+            square = f"(kk{_name(p, q)} - {cross} + {outer}) * {inverse}"
+            sums.append(f"{square} - a{_name(p, q)} + {kernel}")
+        row = _global_sums(rows, sums)
         parts = []
         for score, p in ((_sym(*row[:3]), params[:3]), (_sym(*row[3:]), params[3:])):
             factor = np.array([[p[0], 0.0], [p[1], p[2]]])
@@ -284,19 +293,20 @@ def _name(i: int, j: int) -> str:
     return f"{min(i, j) + 1}{max(i, j) + 1}"
 
 
-def _matrix(a: Column, b: Column, c: Column) -> list[list[Column]]:
-    return [[a, b], [b, c]]
-
-
-def _km(p: int, k: int, l: int, q: int) -> Column:
+def _km(p: int, k: int, l: int, q: int) -> str:
     """Sum over inner groups of K[p,k] K[l,q]."""
     first, second = sorted((_name(p, k), _name(l, q)), key=_SYM.index)
-    return F.col(f"km{first}_{second}")
+    return f"km{first}_{second}"
 
 
-def _kv(p: int, q: int, k: int) -> Column:
+def _kv(p: int, q: int, k: int) -> str:
     """Sum over inner groups of k[p] K[q,k]."""
-    return F.col(f"kv{p + 1}_{_name(q, k)}")
+    return f"kv{p + 1}_{_name(q, k)}"
+
+
+def _global_sums(df: DataFrame, terms: Sequence[str]) -> list[float]:
+    row = df.agg(*(F.expr(f"sum({e}) as c{i}") for i, e in enumerate(terms))).first()
+    return [float(v) for v in row]
 
 
 def _descend(
@@ -390,4 +400,5 @@ def fit_nested_lines(
         reml=reml,
         sums=sums,
         params=params,
+        fitted_fixed=state["beta"],
     )
