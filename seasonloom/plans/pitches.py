@@ -29,7 +29,11 @@ def enrich_pitches(
     biomechanics: DataFrame,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Context, speed in mph, and each pitch's number within its pitcher and game."""
+    """Context, speed in mph, and each pitch's number within its pitcher and game.
+
+    The group sizes are counted after the joins, which may repeat pitches; that
+    count reads and shuffles key columns only.
+    """
     joined = join_pitch_context(pitch, event, game, biomechanics)
     joined = joined.withColumn("release_speed_mph", fps_to_mph("release_speed"))
     return running_index(
@@ -67,6 +71,10 @@ def starters(pitches: DataFrame, starter_pitches: float = STARTER_PITCHES) -> Da
 
 
 def pitch_model_data(pitches: DataFrame, starter_pitches: float = STARTER_PITCHES) -> DataFrame:
-    """Primary-fastball pitches of starters, with the starters' totals."""
-    fastballs = inner_join(pitches, primary_pitch(pitches), ["pitcher_id", "pitch_type"])
-    return inner_join(fastballs, starters(pitches, starter_pitches), ["pitcher_id"])
+    """Primary-fastball pitches of starters, with the starters' totals.
+
+    Both rules are one row per pitcher, so they are joined to each other first
+    and the pitches are joined once.
+    """
+    qualified = inner_join(primary_pitch(pitches), starters(pitches, starter_pitches), ["pitcher_id"])
+    return inner_join(pitches, qualified, ["pitcher_id", "pitch_type"])
