@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
-Each query runs once to warm up and then BENCH_REPEATS times; the median wall
-time counts, plan building and staging included.  Results go to Spark's no-op
+Each headline query runs once to warm up and then BENCH_REPEATS times; the
+median wall time counts, plan building and staging included.  Results go to Spark's no-op
 sink, so every row and column is computed.
 """
 
@@ -25,17 +25,14 @@ HEADLINE = [
     "survival_cohort",
     "injury_rate_year_level",
     "velo_injury_cohort",
-    "velo_missing_rate",
     "baseline_risk",
     "surgeries_by_year_level",
     "pitch_enriched",
     "pitch_model_data",
-    "velo_ols_game",
     "km_by_role",
-    "km_by_level",
 ]
-# Iterative fits run many jobs each; they are timed once, after one warm-up.
-FITS = ["cox_fit", "cox_curve", "velo_decay_fixed", "velo_decay_game"]
+# Iterative fits run many jobs each; they run once, in the JVM the others warmed up.
+FITS = ["cox_fit", "velo_decay_fixed"]
 
 
 def _session(cpus: str) -> SparkSession:
@@ -66,10 +63,12 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     spark = _session(os.environ.get("BENCH_CPUS", "8"))
     times: dict[str, float] = {}
-    for name in HEADLINE + FITS:
+    for name in HEADLINE:
         _seconds(spark, name, folder)
-        runs = [_seconds(spark, name, folder) for _ in range(1 if name in FITS else repeats)]
+        runs = [_seconds(spark, name, folder) for _ in range(repeats)]
         times[name] = round(statistics.median(runs), 3)
+    for name in FITS:
+        times[name] = round(_seconds(spark, name, folder), 3)
     spark.stop()
     print(
         json.dumps(

@@ -344,7 +344,8 @@ def _descend(
             inverse = left @ inverse @ left.T + np.outer(step, step) / curvature
         drop = best - trial
         point, best, state, gradient = point + step, trial, trial_state, new_gradient
-        if drop <= tolerance * (1 + abs(best)) and np.linalg.norm(gradient) <= 1e-2:
+        scale = 1 + abs(best)
+        if drop <= tolerance * scale and np.linalg.norm(gradient) <= 1e-4 * scale:
             return point, state, iteration
     return point, state, max_iterations
 
@@ -356,7 +357,7 @@ def fit_nested_lines(
     outer: str,
     inner: str,
     reml: bool = True,
-    tolerance: float = 1e-10,
+    tolerance: float = 1e-8,
     max_iterations: int = 100,
 ) -> MixedFit:
     """Fit y ~ x + (1 + x | outer) + (1 + x | outer:inner).
