@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from seasonloom.functions.scalar import year_prefix
@@ -44,29 +44,32 @@ def read_csv(spark: SparkSession, path: str, schema: str, keep_extra: bool = Fal
     return _typed(_scan(spark, path), schema, keep_extra)
 
 
-def _entry(root: str):
-    """First path component below ``root`` in the row's file path."""
-    below = F.substring_index(F.col("_metadata.file_path"), "/" + root.strip("/").split("/")[-1] + "/", -1)
+def _entry(path: str, root: str) -> Column:
+    """First component below ``root`` of the file path in column ``path``."""
+    below = F.substring_index(F.col(path), "/" + root.rstrip("/").split("/")[-1] + "/", -1)
     return F.substring_index(below, "/", 1)
 
 
 def read_by_year(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Read every file of a folder; the year is the first four characters of its name.
+    """Read every entry of a folder; the year is the first four characters of its name.
 
-    An entry is a file, or a folder of part files.  Files are matched by column
-    name: those that share a header are read in one scan, so the number of
-    scans is the number of distinct headers, not of files.
+    An entry is a file, or a folder of part files from one writer.  Entries are
+    matched by column name: those that share a header are read in one scan, so
+    there are as many scans as distinct headers.  One header per entry is read
+    up front; a part file that disagrees with its folder is refused.
     """
+    root = root.rstrip("/")
     # Only the listing is read: the content column is pruned away.
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    files = [r.path for r in listing.select("path").toLocalIterator()]
+    visible = listing.where(~F.substring_index("path", "/", -1).rlike("^[_.]"))
+    samples = visible.groupBy(_entry("path", root).alias("entry")).agg(F.min("path").alias("sample"))
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for file in sorted(f for f in files if not f.rsplit("/", 1)[-1].startswith(("_", "."))):
-        by_header[tuple(_scan(spark, file).columns)].append(file)
+    for row in samples.orderBy("entry").toLocalIterator():
+        by_header[tuple(_scan(spark, row.sample).columns)].append(f"{root}/{row.entry}")
     frames = []
-    for group in by_header.values():
-        rows = _scan(spark, group)
-        year = year_prefix(_entry(root)).alias("year")
+    for entries in by_header.values():
+        rows = _scan(spark, entries)
+        year = year_prefix(_entry("_metadata.file_path", root)).alias("year")
         body = [c for c in rows.columns if c != "year"]
         frames.append(_typed(rows.select(year, *body), f"year int, {schema}", keep_extra=True))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -216,6 +216,35 @@ def test_fused_tracking_equals_steps(spark):
     )
 
 
+def _brute_blend(a, b, gap):
+    """Volume-weighted blend of two (pitches, velocity) pairs; None where a side is absent."""
+    if a and b and abs(a[1] - b[1]) >= gap:
+        return None
+    present = [x for x in (a, b) if x]
+    volume = sum(n or 0 for n, _ in present)
+    speed = sum((n or 0) * v for n, v in present) / volume if volume else None
+    return (volume, speed) if present else None
+
+
+def test_tracking_matches_brute_force(spark):
+    rng = random.Random(9)
+    sources = [_source_rows(rng, 80) for _ in range(3)]
+    majors, he, tm = ({r[:2]: r[2:] for r in rows if r[3] is not None} for rows in sources)
+    expected = {}
+    for key in set(majors) | set(he) | set(tm):
+        minors = _brute_blend(he.get(key), tm.get(key), 1)
+        minors = minors if minors and minors[1] is not None else None
+        total = _brute_blend(majors.get(key), minors, 2)
+        if total:
+            expected[key] = total
+    rows = tracking.pitch_tracking(*_tracking(spark, *sources)).collect()
+    assert len(rows) == len(expected) > 50
+    for r in rows:
+        pitches, speed = expected[r.player_id, r.year]
+        assert r.pitches == pitches
+        assert r.fb_velo is None if speed is None else r.fb_velo == pytest.approx(speed)
+
+
 def test_injury_levels(spark):
     reported = spark.createDataFrame(
         [(1, 2019, "3/5/19", "Major"), (2, None, None, None)],
