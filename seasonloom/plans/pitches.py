@@ -74,7 +74,9 @@ def pitch_model_data(pitches: DataFrame, starter_pitches: float = STARTER_PITCHE
     """Primary-fastball pitches of starters, with the starters' totals.
 
     Both rules are one row per pitcher, so they are joined to each other first
-    and the pitches are joined once.
+    and the pitches are joined once.  The type filter is repeated on the pitches,
+    where it reaches the scan; Spark infers none across a null-safe key.
     """
     qualified = inner_join(primary_pitch(pitches), starters(pitches, starter_pitches), ["pitcher_id"])
-    return inner_join(pitches, qualified, ["pitcher_id", "pitch_type"])
+    fastballs = pitches.where(F.col("pitch_type").isin(*FASTBALLS))
+    return inner_join(fastballs, qualified, ["pitcher_id", "pitch_type"])
