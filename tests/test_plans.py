@@ -9,7 +9,7 @@ from seasonloom.plans import injuries, pitches, velocity
 
 
 def _pitch_rows(spark):
-    rows = [(g, p, e, i, f"{g}-{p}-{i}", kind, 132.0) for g, p, e, i, kind in (
+    rows = [(g, p, e, i, f"{g}-{p}-{e}-{i}", kind, 132.0) for g, p, e, i, kind in (
         (1, 1, 1, 2, "FF"), (1, 1, 1, 1, "FF"), (1, 1, 0, 9, "SL"), (2, 1, 5, 1, "FF"),
         (1, 2, 2, 1, "SL"), (1, 2, 2, 2, "SL"), (1, 2, 3, 1, "FF"), (None, 3, 1, 1, "SI"), (4, 3, 1, 1, "SI"),
     )]
@@ -24,14 +24,14 @@ def test_enrichment_keeps_every_pitch(spark):
     pitch = _pitch_rows(spark)
     game = spark.createDataFrame([(1, dt.date(2024, 4, 1))], "game_id int, date date")
     event = spark.createDataFrame([(1, 1, 7)], "game_id int, event_index int, inning int")
-    biomechanics = spark.createDataFrame([("1-1-1", "fast")], "org_movement_id string, pitch_type string")
+    biomechanics = spark.createDataFrame([("1-1-1-1", "fast")], "org_movement_id string, pitch_type string")
     rows = pitches.enrich_pitches(pitch, event, game, biomechanics)
     got = {r.play_id: r for r in rows.collect()}
     assert len(got) == 9
-    assert [got[k].pitch_number for k in ("1-1-9", "1-1-1", "1-1-2", "2-1-1")] == [1, 2, 3, 1]
-    assert (got["1-1-1"].pitch_type_pitch, got["1-1-1"].pitch_type_biomech) == ("FF", "fast")
-    assert got["1-1-1"].inning == 7 and got["2-1-1"].date is None
-    assert got["1-1-1"].release_speed_mph == pytest.approx(132 * 0.681818)
+    assert [got[k].pitch_number for k in ("1-1-0-9", "1-1-1-1", "1-1-1-2", "2-1-5-1")] == [1, 2, 3, 1]
+    assert (got["1-1-1-1"].pitch_type_pitch, got["1-1-1-1"].pitch_type_biomech) == ("FF", "fast")
+    assert got["1-1-1-1"].inning == 7 and got["2-1-5-1"].date is None
+    assert got["1-1-1-1"].release_speed_mph == pytest.approx(132 * 0.681818)
 
 
 def test_model_rows_are_starters_primary_fastballs(spark):
@@ -40,7 +40,7 @@ def test_model_rows_are_starters_primary_fastballs(spark):
     starters = {r.pitcher_id: (r.pitches, r.games) for r in pitches.starters(pitch, 2).collect()}
     assert starters == {1: (4, 2), 2: (3, 1)}
     rows = pitches.pitch_model_data(pitch, 2)
-    assert sorted(r.play_id for r in rows.collect()) == ["1-1-1", "1-1-2", "2-1-1"]
+    assert sorted(r.play_id for r in rows.collect()) == ["1-1-1-1", "1-1-1-2", "2-1-5-1"]
     # A missing game counts as one game.
     assert {r.pitcher_id: r.games for r in pitches.starters(pitch, 1).collect()}[3] == 2
 
