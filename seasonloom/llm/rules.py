@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -136,14 +136,21 @@ def ablations(ledger: DataFrame) -> DataFrame:
 
     ``only`` counts documents that no other rule of the policy removes.
     """
-    spark: SparkSession = ledger.sparkSession
     patterns = ledger.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("docs"))
-    rows = [(p, r, mask(names), mask([r])) for p, names in POLICIES.items() for r in names]
-    policies = spark.createDataFrame(rows, "policy string, rule string, all_bits long, bit long")
+    entries = [
+        F.struct(
+            F.lit(policy).alias("policy"),
+            F.lit(rule).alias("rule"),
+            F.lit(mask(names)).cast("long").alias("all_bits"),
+            F.lit(mask([rule])).cast("long").alias("bit"),
+        )
+        for policy, names in POLICIES.items()
+        for rule in names
+    ]
+    pairs = patterns.select("*", F.inline(F.array(*entries)))
     within = F.col("fail_bits").bitwiseAND(F.col("all_bits"))
     rest = within.bitwiseAND(F.bitwise_not(F.col("bit")))
     number = lambda when: F.coalesce(F.sum(F.when(when, F.col("docs"))), F.lit(0)).alias
-    pairs = patterns.join(F.broadcast(policies), F.col("docs") >= 0)  # policies: one row per rule and version
     return pairs.groupBy("policy", "rule").agg(
         F.sum("docs").alias("n_docs"),
         number(within == 0)("n_kept"),
