@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seasonloom.llm import pieces, rules
+from seasonloom.llm import pieces, rules, shards, warc
+from seasonloom.session import scratch_path, stage
 
 RULE_POLICY = "v2"
+N_SHARDS = 40
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
@@ -35,12 +38,37 @@ def rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
     return rules.ablations(rules.ledger(table(spark, folder, "documents").select("text")))
 
 
+def op4_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's shard and place after the two-pass shuffle, read from the shards."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    written = shards.write(shards.shuffled(docs, N_SHARDS, seed=17), scratch_path(spark, "shards"))
+    return written.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text and of their decoded form, as digests."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pieces.digests(pieces.encode(docs, piece_model()))
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a record of dictionary-compressed archives, read back from them."""
+    pages = table(spark, folder, "pages")
+    rows = warc.classified(pages)
+    manifest = stage(warc.write(rows, scratch_path(spark, "warc"), warc.dictionary(pages)), "warc-manifest")
+    return warc.read(spark, manifest).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_quality_rules, rule_ablations, op5_sentencepiece]
+    named = [op2_quality_rules, rule_ablations, op4_external_shuffle, op5_sentencepiece, op8_warc]
     return {f.__name__: f for f in named}
