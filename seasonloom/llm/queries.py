@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import pieces, rules, shards, warc
+from seasonloom.llm import linecrf, pieces, rules, shards, warc
 from seasonloom.session import scratch_path, stage
 
 RULE_POLICY = "v2"
 N_SHARDS = 40
+QUALITY_THRESHOLD = 0.3
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
@@ -59,6 +60,18 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(pieces.encode(docs, piece_model()))
 
 
+def op6_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = linecrf.train(docs, table(spark, folder, "labels"))
+    return linecrf.score(docs, model).select(
+        "doc_id",
+        linecrf.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as a record of dictionary-compressed archives, read back from them."""
     pages = table(spark, folder, "pages")
@@ -70,5 +83,5 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_quality_rules, rule_ablations, op4_external_shuffle, op5_sentencepiece, op8_warc]
+    named = [op2_quality_rules, rule_ablations, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op8_warc]
     return {f.__name__: f for f in named}
