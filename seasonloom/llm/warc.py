@@ -2,9 +2,9 @@
 
 Each task writes archives of about ``archive_bytes``: a skippable frame that holds the
 dictionary, then one Zstandard frame per record, compressed with it, so a record can be
-read alone and a file needs nothing outside itself.  The dictionary is trained on the
-``sample_rows`` pages that come first by a hash of their id (documents of the sample are
-cut to ``sample_cut`` characters; only the dictionary sees the cut).
+read alone and a file needs nothing outside itself.  The dictionary is trained on about
+``sample_rows`` pages, those whose id hashes lowest (pages of the sample are cut to
+``sample_cut`` characters; only the dictionary sees the cut).
 
 Equal payloads of at least ``min_payload`` bytes are stored once, as the response of the
 largest page id; the other pages become revisit records that refer to it.  Payloads are
@@ -78,8 +78,11 @@ def dictionary(pages: DataFrame, size: int = 64 << 10, sample_rows: int = 800, s
     """A trained dictionary, or none where the sample is too small for one."""
     import zstandard
 
-    chosen = pages.where("html <> ''").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_rows)
-    sample = [r[0].encode() for r in chosen.select(F.substring("html", 1, sample_cut)).collect()]
+    full = pages.where("html <> ''").select(F.xxhash64("page_id").alias("h"), F.substring("html", 1, sample_cut).alias("t"))
+    # The lowest hashes hold sample_rows pages in expectation: each task sends its share of them.
+    share = min(1.0, sample_rows / max(1, full.count()))
+    below = int(-(2**63) + share * (2**64 - 1))
+    sample = [r.t.encode() for r in full.where(F.col("h") <= F.lit(min(below, 2**63 - 1))).orderBy("h", "t").collect()]
     try:
         return zstandard.train_dictionary(size, sample, threads=0).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -220,7 +223,7 @@ def parse(record: bytes) -> dict | None:
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """All page records of the archives in a manifest, one task per archive."""
-    paths = manifest.select("path").distinct()
+    paths = manifest.select("path").repartition(max(1, manifest.count()), "path")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
