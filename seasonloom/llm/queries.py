@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import linecrf, pieces, rules, shards, warc
+from seasonloom.llm import collide, linecrf, pieces, rules, shards, warc
 from seasonloom.session import scratch_path, stage
 
 RULE_POLICY = "v2"
@@ -26,6 +26,12 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op1_collision_counting(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return collide.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures, failure bits and verdict of every document under the latest policy."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -83,5 +89,5 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_quality_rules, rule_ablations, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op8_warc]
+    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op8_warc]
     return {f.__name__: f for f in named}
