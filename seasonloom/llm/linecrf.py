@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, chain: in
     measured = texts.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(
         run, "doc_id long, label int, measures binary"
     )
-    rows = measured.orderBy("doc_id", "measures").collect()
+    rows = sorted(measured.collect(), key=lambda r: (r.doc_id, bytes(r.measures)))
     shape = (-1, len(MEASURES))
     return fit([(int(r.label > 0), np.frombuffer(r.measures, np.float32).reshape(shape)) for r in rows], chain)
 

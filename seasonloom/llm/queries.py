@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import collide, linecrf, pieces, rules, shards, warc
+from seasonloom.llm import collide, linecrf, mixing, pieces, rules, shards, warc
 from seasonloom.session import scratch_path, stage
 
 RULE_POLICY = "v2"
 N_SHARDS = 40
+LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 QUALITY_THRESHOLD = 0.3
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -88,6 +89,22 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def language_labels(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
+    """The labelled documents with their language as the domain."""
+    labelled = table(spark, folder, "labels").select("doc_id").distinct()
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labelled, "doc_id")
+
+
+def op9_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Posteriors and rate of every document for the target weights of the languages."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = mixing.classifier(docs, language_labels(spark, folder, docs), list(LANGUAGE_WEIGHTS))
+    measured = stage(model.measured(docs).select("doc_id", "n_tokens", "posterior"), "mixing")
+    rates = mixing.fit(measured, LANGUAGE_WEIGHTS)
+    share = [F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(LANGUAGE_WEIGHTS)]
+    return measured.select("doc_id", "n_tokens", *share, rates.column().alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op8_warc]
+    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op8_warc, op9_soft_mixing]
     return {f.__name__: f for f in named}
