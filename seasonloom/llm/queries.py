@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import collide, linecrf, mixing, pieces, rules, shards, warc
+from seasonloom.llm import collide, linecrf, mixing, neardup, pieces, rules, shards, warc
 from seasonloom.session import scratch_path, stage
 
 RULE_POLICY = "v2"
@@ -46,6 +46,11 @@ def rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
     return rules.ablations(rules.ledger(table(spark, folder, "documents").select("text")))
 
 
+def op3_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of near-duplicates of every document."""
+    return neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op4_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard and place after the two-pass shuffle, read from the shards."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -106,5 +111,5 @@ def op9_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op8_warc, op9_soft_mixing]
+    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op3_hyperminhash, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op8_warc, op9_soft_mixing]
     return {f.__name__: f for f in named}
