@@ -99,16 +99,22 @@ class Block:
             np.less(np.subtract(self.place, low, out=gap), size, out=inside)
             return np.add.reduce(inside.view(np.uint8), axis=0, dtype=total) >= need
 
+        level = last // 2
         for q in range(len(queries)):
-            # Windows of successive levels are nested, so the first wide enough one is bisected.
-            narrow, wide = 0, last
-            while narrow < wide:
-                middle = (narrow + wide) // 2
-                if np.count_nonzero(colliding(q, middle)) >= enough:
-                    wide = middle
+            # Windows of successive levels are nested, so the first wide enough one is bisected,
+            # from the level of the query before, which is seldom far.
+            narrow, wide, chosen, step = -1, last, None, 1
+            while wide - narrow > 1 or chosen is None:
+                hit = colliding(q, level)
+                if level == last or np.count_nonzero(hit) >= enough:
+                    wide, chosen = level, hit
+                    level = max(level - step, narrow + 1) if narrow < 0 else (narrow + wide) // 2
                 else:
-                    narrow = middle + 1
-            yield np.flatnonzero(colliding(q, wide))
+                    narrow = level
+                    level = min(level + step, wide - (chosen is not None)) if chosen is None else (narrow + wide) // 2
+                step *= 2
+            level = wide
+            yield np.flatnonzero(chosen)
 
     def nearest(self, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray) -> tuple[list, list, list]:
         out: tuple[list, list, list] = ([], [], [])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import collide, linecrf, mixing, neardup, pieces, rules, shards, warc
+from seasonloom.llm import collide, katz, linecrf, mixing, neardup, pieces, rules, shards, warc
 from seasonloom.session import scratch_path, stage
 
 RULE_POLICY = "v2"
@@ -94,6 +94,22 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under the model of those that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
+    model = katz.train(docs.where(~held_out))
+    return katz.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def language_labels(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
     """The labelled documents with their language as the domain."""
     labelled = table(spark, folder, "labels").select("doc_id").distinct()
@@ -111,5 +127,5 @@ def op9_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op3_hyperminhash, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op8_warc, op9_soft_mixing]
+    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op3_hyperminhash, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op8_warc, op9_soft_mixing, op10_katz_backoff]
     return {f.__name__: f for f in named}
