@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import collide, katz, linecrf, mixing, neardup, pieces, rules, shards, warc
+from seasonloom.llm import collide, katz, linecrf, mixing, neardup, pagetext, pieces, rules, shards, warc
 from seasonloom.session import scratch_path, stage
 
 RULE_POLICY = "v2"
@@ -84,6 +84,12 @@ def op6_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return pagetext.extract(pages, pagetext.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as a record of dictionary-compressed archives, read back from them."""
     pages = table(spark, folder, "pages")
@@ -127,5 +133,5 @@ def op9_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op3_hyperminhash, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op8_warc, op9_soft_mixing, op10_katz_backoff]
+    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op3_hyperminhash, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op7_page_text, op8_warc, op9_soft_mixing, op10_katz_backoff]
     return {f.__name__: f for f in named}
