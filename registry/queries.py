@@ -320,7 +320,7 @@ def _model_data(v: DriverViews) -> DataFrame:
 @_query
 def pitch_sequence(v: DriverViews) -> DataFrame:
     numbered = windows.running_index(
-        v.pitch(), ["game_id", "pitcher_id"], ["event_index", "play_index"], "pitch_number"
+        v.pitch(), ["game_id", "pitcher_id"], ["event_index", "play_index"], "pitch_number", ["play_id"]
     )
     return numbered.select("game_id", "pitcher_id", "play_id", "pitch_number")
 

@@ -14,9 +14,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key with more rows than this is too much for one task.
-HOT_ROWS = 5_000_000
-
 Keys = Sequence[str | tuple[str, str]]
 
 _RIGHT = "__right_"
@@ -69,17 +66,16 @@ def full_join(
     on: Keys,
     suffixes: tuple[str, str] = ("_x", "_y"),
     left_unique: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Full outer join that stays parallel when one key holds very many rows.
 
-    Adaptive execution never splits a skewed partition of a full outer join.
-    Where a key repeats more than ``hot_rows`` times on either side, the same
-    rows come from joins it can split: the matched rows, plus each side's rows
-    without a partner, found against the other side's distinct keys.
+    Adaptive execution never splits a skewed partition of a full outer join, so
+    the rows come from joins it can split: the matched rows, plus each side's
+    rows without a partner, found against the other side's distinct keys.  The
+    plan is the same for every size and runs nothing before its result is asked for.
 
-    ``left_unique`` says the left side holds each key once, so that only the
-    right side can be hot.
+    ``left_unique`` says the left side holds each key once: then one left join
+    from the right side gives all but the left rows without a partner.
     """
     left, right, pairs = _prepare(left, right, on, suffixes)
     condition = _condition(pairs)
@@ -88,11 +84,6 @@ def full_join(
     rest = [c for c in left.columns if c not in left_keys]
     rest += [c for c in right.columns if c not in right_keys]
 
-    checked = [right.select(*right_keys)] + ([] if left_unique else [left.select(*left_keys)])
-    if not _any_hot_key(checked, hot_rows):
-        merged = [F.coalesce(a, _RIGHT + b).alias(a) for a, b in pairs]
-        return left.join(right, condition, "full").select(*merged, *rest)
-
     as_left = [F.col(_RIGHT + b).alias(a) for a, b in pairs]
     left_only = left.join(right.select(*right_keys).distinct(), condition, "left_anti")
     if left_unique:
@@ -106,19 +97,6 @@ def full_join(
     )
 
 
-def _any_hot_key(sides: Sequence[DataFrame], hot_rows: int) -> bool:
-    """Whether a key repeats more than ``hot_rows`` times; a short side cannot have one."""
-    sizes = [keys.agg(F.count(F.lit(1)).alias("rows")) for keys in sides]
-    longest = reduce(DataFrame.union, sizes).agg(F.max("rows")).first()[0]
-    if longest <= hot_rows:
-        return False
-    hottest = [
-        keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("rows")).agg(F.max("rows"))
-        for keys in sides
-    ]
-    return (reduce(DataFrame.union, hottest).agg(F.max("max(rows)")).first()[0] or 0) > hot_rows
-
-
 def prior_year(df: DataFrame, key: str, columns: dict[str, str], year: str = "year") -> DataFrame:
     """Values keyed by the following season, ready to join as covariates.
 

@@ -5,35 +5,38 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
-from seasonloom.operators.joins import HOT_ROWS, left_join
-from seasonloom.session import stage
+from seasonloom.operators.joins import left_join
 
-# Whole-number positions per chunk of a running total.
-CHUNK_WIDTH = 4096
+# Chunks per chunk of the next level of a running total, as a power of two.  Four
+# levels of 2^16 hold all 64-bit positions.
+CHUNK_BITS = 16
 
 
 def running_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, ties: Sequence[str] = ()
 ) -> DataFrame:
     """Number the rows of each group from 1 in the given order, missing last.
 
-    A window puts a whole group in one task.  Groups above ``hot_rows`` (at most
-    rows / ``hot_rows`` of them) are found with one map-side-combined count and
-    numbered in range chunks; every other group takes the plain window.
+    Rows that ``order`` leaves tied follow ``ties``; rows tied there too are
+    numbered in any order.  The first order column holds whole numbers.  A
+    window spans the rows of one group and one value of it, and the number of
+    rows at smaller values is added (``running_totals``), so a group may be of
+    any size.  The plan reads ``df`` twice and runs nothing by itself.
     """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows)
-    hot_total = hot.agg(F.sum("rows")).first()[0]
-    if hot_total is None:
-        return _index_in_window(df, keys, order, name)
-    flagged = left_join(df, hot.select(*keys, F.lit(True).alias("is_hot")), keys)
-    flagged = stage(flagged, "indexed-rows")
-    cold = flagged.where("is_hot is null").drop("is_hot")
-    split = flagged.where("is_hot").drop("is_hot")
-    chunks = max(2, 2 * hot_total // hot_rows)
-    return _index_in_window(cold, keys, order, name).unionByName(
-        _index_in_chunks(split, keys, order, name, chunks)
-    )
+    first = order[0]
+    if not isinstance(df.schema[first].dataType, IntegralType):
+        raise TypeError(f"the first order column {first!r} must have a whole-number type")
+    numbered = _index_in_window(df, [*keys, first], [*order[1:], *ties], name)
+    # Missing values come last: after every whole number.
+    position = F.coalesce(F.col(first).cast("bigint"), F.lit(2**63 - 1)).alias("__position")
+    counts = df.groupBy(*keys, first).agg(F.count(F.lit(1)).alias("__rows"))
+    counts = counts.select("*", position)
+    upto = running_totals(counts, keys, "__position", {"__upto": F.col("__rows")})
+    before = upto.select(*keys, first, (F.col("__upto") - F.col("__rows")).alias("__before"))
+    joined = left_join(numbered, before, [*keys, first])
+    return joined.withColumn(name, F.col(name) + F.col("__before")).drop("__before")
 
 
 def _ascending(order: Sequence[str]) -> list[Column]:
@@ -41,39 +44,16 @@ def _ascending(order: Sequence[str]) -> list[Column]:
 
 
 def _index_in_window(df: DataFrame, keys, order, name: str) -> DataFrame:
-    within = Window.partitionBy(*keys).orderBy(*_ascending(order))
+    within = Window.partitionBy(*keys).orderBy(*(_ascending(order) or [F.lit(1)]))
     return df.withColumn(name, F.row_number().over(within).cast("bigint"))
 
 
-def _index_in_chunks(df: DataFrame, keys, order, name: str, chunks: int) -> DataFrame:
-    """Number rows within range partitions, then shift by the rows before each.
-
-    ``df`` is read from files, so the scan position is a repeatable last sort
-    key that lets even exact copies spread over chunks.  A group reaches past a
-    chunk's end at most once per chunk, so there are fewer shifts than chunks.
-    """
-    placed = df.withColumn("scan_position", F.monotonically_increasing_id())
-    ranged = placed.repartitionByRange(
-        chunks, *(F.asc_nulls_last(c) for c in [*keys, *order, "scan_position"])
-    ).withColumn("chunk", F.spark_partition_id())
-    ranged = stage(ranged, "range-chunks")
-
-    sizes = ranged.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*keys, "chunk", F.sum("rows").over(before).alias("shift"))
-    shifts = shifts.where(F.col("shift").isNotNull())
-
-    numbered = _index_in_window(ranged, ["chunk", *keys], [*order, "scan_position"], name)
-    shifted = left_join(numbered, shifts, ["chunk", *keys])
-    total = F.col(name) + F.coalesce(F.col("shift"), F.lit(0))
-    return shifted.withColumn(name, total).drop("shift", "chunk", "scan_position")
-
-
 def fill_down(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str) -> DataFrame:
     """Carry the last present value forward within each group, missing order last.
 
     For frames with one row per (keys, order), so a group is as long as the
-    order column has values: at most one row per season for a player.
+    order column has values: at most one row per season for a player.  Rows
+    that share an order value follow each other in any order.
     """
     upto = (
         Window.partitionBy(*keys)
@@ -102,31 +82,46 @@ def running_totals(
     by: Sequence[str],
     position: str,
     totals: dict[str, Column],
-    width: int = CHUNK_WIDTH,
+    bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """Inclusive running sums over a whole-number position within each group.
 
-    ``df`` holds each (group, position) once.  A group may be a whole stratum,
-    so its positions are cut into chunks of ``width``: sums run inside a chunk,
-    and the sum of the chunks before it is added.  No task sorts more than
-    ``width`` positions of a group, or one row per chunk.
+    ``df`` holds each (group, position) once.  Positions are cut into chunks of
+    2^bits, chunks into chunks of chunks, and so on up to the whole range of
+    64-bit numbers.  Sums run inside a chunk; each level adds the sum of the
+    chunks before it in its own chunk.  So no task sorts more than 2^bits rows
+    of a group, dense or sparse, and one group needs no more than many.
     """
-    chunk = F.floor(F.col(position) / width).alias("chunk")
-    rows = df.select("*", chunk, *(expr.alias(name) for name, expr in totals.items()))
     names = list(totals)
-
-    sizes = rows.groupBy(*by, "chunk").agg(*(F.sum(n).alias(n) for n in names))
-    before = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
-        *by, "chunk", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias("before_" + n) for n in names)
+    levels = -(-64 // bits)
+    top = levels - 1
+    chunk = lambda k: F.shiftright(F.col(position).cast("bigint"), bits * k)
+    # A shift keeps the sign, so chunks are ordered like their positions.
+    rows = df.select(
+        "*", *(expr.alias(n) for n, expr in totals.items()), *(chunk(k).alias(f"__c{k}") for k in range(1, levels))
     )
 
+    shifts = None
+    for k in range(top, 0, -1):
+        above = [f"__c{j}" for j in range(k + 1, levels)]
+        sums = rows.groupBy(*by, *above, f"__c{k}").agg(*(F.sum(n).alias(n) for n in names))
+        before = Window.partitionBy(*by, *above).orderBy(f"__c{k}").rowsBetween(Window.unboundedPreceding, -1)
+        own = {f"__b_{n}": F.coalesce(F.sum(n).over(before), F.lit(0)) for n in names}
+        level = sums.withColumns(own).drop(*names)
+        if shifts is not None:
+            outer = shifts.withColumnsRenamed({f"__b_{n}": f"__o_{n}" for n in names})
+            level = left_join(level, outer, [*by, *above])
+            level = level.withColumns({f"__b_{n}": F.col(f"__b_{n}") + F.col(f"__o_{n}") for n in names})
+            level = level.drop(*(f"__o_{n}" for n in names))
+        shifts = level
+
+    chunks = [f"__c{k}" for k in range(1, levels)]
     inside = (
-        Window.partitionBy(*by, "chunk")
+        Window.partitionBy(*by, *chunks)
         .orderBy(position)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = rows.withColumns({n: F.sum(n).over(inside) for n in names})
-    joined = local.join(shifts, [*by, "chunk"])
-    summed = {n: F.col(n) + F.col("before_" + n) for n in names}
-    return joined.withColumns(summed).drop("chunk", *("before_" + n for n in names))
+    joined = left_join(local, shifts, [*by, *chunks])
+    summed = {n: F.col(n) + F.col(f"__b_{n}") for n in names}
+    return joined.withColumns(summed).drop(*chunks, *(f"__b_{n}" for n in names))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seasonloom.functions.scalar import fps_to_mph, ratio
 from seasonloom.operators.aggregate import group_count
-from seasonloom.operators.joins import HOT_ROWS, inner_join, left_join
+from seasonloom.operators.joins import inner_join, left_join
 from seasonloom.operators.windows import first_ranked, running_index
 
 STARTER_PITCHES = 75
@@ -23,22 +23,18 @@ def join_pitch_context(
 
 
 def enrich_pitches(
-    pitch: DataFrame,
-    event: DataFrame,
-    game: DataFrame,
-    biomechanics: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    pitch: DataFrame, event: DataFrame, game: DataFrame, biomechanics: DataFrame
 ) -> DataFrame:
     """Context, speed in mph, and each pitch's number within its pitcher and game.
 
-    The group sizes are counted after the joins, which may repeat pitches; that
-    count reads and shuffles key columns only.
+    Pitches that the joins repeat are told apart by every joined column, so
+    equal numbers go to equal rows only.
     """
     joined = join_pitch_context(pitch, event, game, biomechanics)
     joined = joined.withColumn("release_speed_mph", fps_to_mph("release_speed"))
-    return running_index(
-        joined, ["game_id", "pitcher_id"], ["event_index", "play_index"], "pitch_number", hot_rows
-    )
+    keys, order = ["game_id", "pitcher_id"], ["event_index", "play_index"]
+    ties = ["play_id", *(c for c in joined.columns if c not in {*keys, *order, "play_id"})]
+    return running_index(joined, keys, order, "pitch_number", ties)
 
 
 def _type_game_counts(pitches: DataFrame) -> DataFrame:

@@ -44,11 +44,10 @@ def _null_keys(spark):
     return left, right
 
 
-@pytest.mark.parametrize("hot_rows", [0, 10])
 @pytest.mark.parametrize("left_unique", [False, True])
-def test_full_join_matches_missing_keys(spark, hot_rows, left_unique):
+def test_full_join_matches_missing_keys(spark, left_unique):
     left, right = _null_keys(spark)
-    joined = joins.full_join(left, right, ["id", "year"], ("_l", "_r"), left_unique, hot_rows)
+    joined = joins.full_join(left, right, ["id", "year"], ("_l", "_r"), left_unique)
     assert joined.columns == ["id", "year", "v_l", "v_r"]
     assert set(_values(joined, "*")) == {(1, None, "a", "x"), (2, 5, "b", None), (3, 7, None, "z")}
 
@@ -58,8 +57,8 @@ def test_full_join_under_skew_equals_plain(spark):
     rows = lambda n, hot: [(0 if rng.random() < hot else rng.randint(1, 30), i) for i in range(n)]
     left = spark.createDataFrame(rows(60, 0.4), "k int, a int")
     right = spark.createDataFrame(rows(70, 0.4), "k int, b int")
-    plain = sorted(_values(joins.full_join(left, right, ["k"]), "*"), key=str)
-    split = sorted(_values(joins.full_join(left, right, ["k"], hot_rows=5), "*"), key=str)
+    plain = sorted(_values(left.join(right, "k", "full"), "*"), key=str)
+    split = sorted(_values(joins.full_join(left, right, ["k"]), "*"), key=str)
     assert split == plain
     assert len(plain) > 60 * 70 * 0.1
 
@@ -111,13 +110,12 @@ def test_fill_down(spark):
     }
 
 
-@pytest.mark.parametrize("hot_rows", [7, 10_000])
-def test_running_index_splits_hot_groups(spark, hot_rows):
+def test_running_index_numbers_groups_in_order(spark):
     rng = random.Random(2)
     rows = [(0 if rng.random() < 0.4 else rng.randint(1, 40), rng.randint(0, 9), i) for i in range(400)]
     rows += [(None, None, 1000 + i) for i in range(12)]
     frame = spark.createDataFrame(rows, "g int, a int, b int").repartition(5)
-    got = _values(windows.running_index(frame, ["g"], ["a", "b"], "n", hot_rows), "g", "a", "b", "n")
+    got = _values(windows.running_index(frame, ["g"], ["a"], "n", ["b"]), "g", "a", "b", "n")
     expected = []
     for g in {r[0] for r in rows}:
         group = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
@@ -127,19 +125,28 @@ def test_running_index_splits_hot_groups(spark, hot_rows):
 
 def test_running_index_of_exact_copies(spark):
     frame = spark.createDataFrame([(1, 1)] * 50 + [(2, 1)] * 3, "g int, a int")
-    got = _values(windows.running_index(frame, ["g"], ["a"], "n", hot_rows=5), "g", "n")
+    got = _values(windows.running_index(frame, ["g"], ["a"], "n"), "g", "n")
     assert sorted(got) == [(1, i) for i in range(1, 51)] + [(2, i) for i in range(1, 4)]
 
 
-@pytest.mark.parametrize("width", [3, 1000])
-def test_running_totals_chunks(spark, width):
+@pytest.mark.parametrize("bits", [3, 16])
+def test_running_totals_chunks(spark, bits):
     rows = [(g, p, (p * 7 + ord(g)) % 5) for g in "ab" for p in range(-20, 20, 2)]
     frame = spark.createDataFrame(rows, "g string, p int, v int")
-    totals = windows.running_totals(frame, ["g"], "p", {"t": F.col("v")}, width)
+    totals = windows.running_totals(frame, ["g"], "p", {"t": F.col("v")}, bits)
     expected = [(g, p, sum(v for h, q, v in rows if h == g and q <= p)) for g, p, _ in rows]
     assert sorted(_values(totals, "g", "p", "t")) == expected
 
 
+def test_running_totals_of_sparse_positions_need_no_single_task(spark):
+    frame = spark.range(3000).select((F.col("id") * 5000 - 7_000_000).alias("p"), F.lit(1).alias("v"))
+    totals = windows.running_totals(frame, [], "p", {"t": F.col("v")}, 8)
+    assert totals.where(F.col("t") != (F.col("p") + 7_000_000) / 5000 + 1).count() == 0
+    far = spark.createDataFrame([(-(2**63),), (-1,), (0,), (2**63 - 1,)], "p long")
+    ends = windows.running_totals(far, [], "p", {"t": F.lit(1)})
+    assert sorted(_values(ends, "p", "t")) == [(-(2**63), 1), (-1, 2), (0, 3), (2**63 - 1, 4)]
+
+
 def test_top_value_is_not_reranked(spark):
     counts = spark.createDataFrame(
         [(1, "SL", 5), (1, "FF", 4), (2, "SI", 3), (2, "FF", 3), (3, None, 9)], "id int, kind string, n int"

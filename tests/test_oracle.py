@@ -7,13 +7,15 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from registry.oracle import all_statements
+from registry.queries import all_queries
 from tests.conftest import TESTDATA
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, STATEMENTS = queries(), oracle_sql()
+QUERIES, STATEMENTS = all_queries(), all_statements()
 
 
 @pytest.fixture(scope="module", params=["sf0.001", "sf0.01"])
@@ -64,6 +66,7 @@ def test_matches_sql(spark, duck, folder, name):
 
 
 def test_every_statement_has_a_query():
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
     assert set(STATEMENTS) <= set(QUERIES)
     assert set(QUERIES) - set(STATEMENTS) == {
         "cox_fit", "cox_curve", "velo_decay_fixed", "velo_decay_pitcher", "velo_decay_game", "velo_fitted",
