@@ -52,7 +52,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     Used where a frame feeds several jobs: later readers prune columns, and a
     lost executor re-reads files and does not replay the joins behind them.
+    ``unstage`` removes the files once nothing reads the frame any more.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete the files of staged frames; only those that ``stage`` itself returned."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(conf).delete(path, True)
