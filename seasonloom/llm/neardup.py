@@ -255,12 +255,15 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str
     links = stage(verified(likely, elements, settings), "neardup-links")
     labels = components(links, "neardup")
     more = stage(across(members, labels, elements, settings), "neardup-across")
-    if not more.isEmpty():
-        links = stage(links.union(verified(more, elements, settings)).distinct(), "neardup-links")
-        labels = components(links, "neardup")
-
     named = classes.join(labels.withColumnRenamed("doc_id", "first"), "first", "left")
-    named = named.select(*key, F.coalesce("component", "first").alias("class_component"))
+    named = named.select(*key, F.coalesce("component", "first").alias("part"))
+    # Links across components join whole components: one edge for each pair of them.
+    part = lambda name: labels.select(F.col("doc_id").alias(name), F.col("component").alias(f"part_{name}"))
+    edges = verified(more, elements, settings).join(part("a"), "a", "left").join(part("b"), "b", "left")
+    edges = edges.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    whole = components(edges.where("a <> b").distinct(), "neardup-across")
+    named = named.join(whole.withColumnRenamed("doc_id", "part"), "part", "left")
+    named = named.select(*key, F.coalesce("component", "part").alias("class_component"))
     found = signed.drop("registers").join(named, key, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
     return found.select(
