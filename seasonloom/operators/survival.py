@@ -21,6 +21,10 @@ from seasonloom.session import stage
 # Tied events of one time are expanded in blocks of this many.
 TIE_BLOCK = 8192
 
+# A standard error above this, per standard unit of a covariate, says that the
+# likelihood keeps rising towards infinity.
+EXPLODED = 100.0
+
 
 def _z(level: float) -> float:
     return NormalDist().inv_cdf((1 + level) / 2)
@@ -112,6 +116,7 @@ class CoxFit:
     scale: np.ndarray
     default_at: np.ndarray
     reduced: DataFrame
+    converged: bool
 
     def table(self) -> DataFrame:
         std_err = np.sqrt(np.diag(self.covariance))
@@ -158,6 +163,8 @@ def _tied_terms(reduced: DataFrame, z: list[str], beta: np.ndarray) -> tuple[Dat
         *_sum_all(**{"a" + k: f"weight * {e}" for k, e in moments.items()}),
         *_sum_all(**{"e" + k: f"w_hit * {e}" for k, e in moments.items()}),
     )
+    # Read twice for the running totals, and far smaller than the rows behind it.
+    per_time = stage(per_time, "cox-times")
     risk = {"s" + k: F.col("a" + k) for k in moments} | {"n_risk": F.col("n_rows")}
     at_risk = _risk_sets(per_time, [], risk).drop(*("a" + k for k in moments))
 
@@ -184,6 +191,10 @@ def _score(reduced: DataFrame, z: list[str], beta: np.ndarray):
     return values[0], values[1 : 1 + p], info
 
 
+def _finite(score: tuple) -> bool:
+    return all(np.isfinite(part).all() for part in score)
+
+
 def cox_fit(
     df: DataFrame,
     time: str,
@@ -191,12 +202,17 @@ def cox_fit(
     covariates: dict[str, Column],
     tolerance: float = 1e-9,
     max_iterations: int = 30,
+    must_converge: bool = True,
 ) -> CoxFit:
     """Newton fit of log hazard ratios with Efron's treatment of ties.
 
     Complete cases are reduced once to counts per (time, event, covariates).
     Each iteration is one job that returns 1 + p + p(p+1)/2 numbers; the driver
     only solves the p x p system, halving the step while the fit gets worse.
+
+    A fit that runs out of steps or halvings, or whose standard errors show that the
+    likelihood has no maximum (a covariate that separates the events), has not
+    converged: that raises, or is only marked with ``must_converge`` off.
     """
     _require_whole(df, time)
     names = list(covariates)
@@ -228,25 +244,39 @@ def cox_fit(
 
     beta = np.zeros(p)
     loglik, gradient, info = _score(reduced, z, beta)
-    loglik_null, iterations = loglik, 0
-    while iterations < max_iterations:
+    loglik_null, iterations, converged = loglik, 0, False
+    while iterations < max_iterations and not converged:
         iterations += 1
-        step = np.linalg.solve(info, gradient)
+        try:
+            step = np.linalg.solve(info, gradient)
+        except np.linalg.LinAlgError:
+            break
         for _ in range(20):
             trial = _score(reduced, z, beta + step)
-            if np.isfinite(trial[0]) and trial[0] >= loglik - tolerance * abs(loglik):
+            if _finite(trial) and trial[0] >= loglik - tolerance * abs(loglik):
                 break
             step = step / 2
+        else:
+            break  # the last accepted point stands
         beta = beta + step
-        change = abs(trial[0] - loglik)
+        converged = abs(trial[0] - loglik) <= tolerance * abs(loglik)
         loglik, gradient, info = trial
-        if change <= tolerance * abs(loglik):
-            break
+    try:
+        inverse = np.linalg.inv(info)
+    except np.linalg.LinAlgError:
+        inverse = np.full((p, p), np.nan)
+    # Covariates are in standard units, where a proper standard error is far below this.
+    spread_of = np.sqrt(np.abs(np.diag(inverse)))
+    converged = bool(converged and (spread_of < EXPLODED).all())
+    if must_converge and not converged:
+        raise ArithmeticError(
+            f"no convergence after {iterations} steps: coefficients {beta / scale}, standard errors {spread_of / scale}"
+        )
     dummy = np.array([moments["dummy_" + c] for c in names])
     return CoxFit(
         names=names,
         coef=beta / scale,
-        covariance=np.linalg.inv(info) / np.outer(scale, scale),
+        covariance=inverse / np.outer(scale, scale),
         loglik_null=loglik_null,
         loglik=loglik,
         iterations=iterations,
@@ -256,6 +286,7 @@ def cox_fit(
         scale=scale,
         default_at=np.where(dummy, 0.0, center),
         reduced=reduced,
+        converged=converged,
     )
 
 

@@ -109,6 +109,7 @@ class MixedFit:
     sums: "_NestedSums"
     params: np.ndarray
     fitted_fixed: np.ndarray
+    converged: bool
 
     def fixed_effects(self) -> DataFrame:
         rows = [("intercept", float(self.fixed[0])), ("slope", float(self.fixed[1]))]
@@ -315,8 +316,11 @@ def _descend(
     slope: Callable[[np.ndarray, object], np.ndarray],
     tolerance: float,
     max_iterations: int,
-) -> tuple[np.ndarray, object, int]:
-    """BFGS with a backtracking line search over a handful of parameters."""
+) -> tuple[np.ndarray, object, int, bool]:
+    """BFGS with a backtracking line search over a handful of parameters.
+
+    The last value says whether it converged: neither steps nor backtracks ran out.
+    """
     point, inverse = start, None
     best, state = value(point)
     gradient = slope(point, state)
@@ -333,7 +337,8 @@ def _descend(
                 break
             step = step / 3
         else:
-            return point, state, iteration
+            flat = np.linalg.norm(gradient) <= 1e-4 * (1 + abs(best))
+            return point, state, iteration, bool(flat)
         new_gradient = slope(point + step, trial_state)
         change = new_gradient - gradient
         curvature = step @ change
@@ -346,8 +351,8 @@ def _descend(
         point, best, state, gradient = point + step, trial, trial_state, new_gradient
         scale = 1 + abs(best)
         if drop <= tolerance * scale and np.linalg.norm(gradient) <= 1e-4 * scale:
-            return point, state, iteration
-    return point, state, max_iterations
+            return point, state, iteration, True
+    return point, state, max_iterations, False
 
 
 def fit_nested_lines(
@@ -359,13 +364,15 @@ def fit_nested_lines(
     reml: bool = True,
     tolerance: float = 1e-8,
     max_iterations: int = 100,
+    must_converge: bool = True,
 ) -> MixedFit:
     """Fit y ~ x + (1 + x | outer) + (1 + x | outer:inner).
 
     The residual variance and the fixed effects are profiled out, which leaves
     the six Cholesky factors of the two relative covariances.  An evaluation is
     one grouping of the staged inner sums by ``outer``; value and gradient come
-    back as seven and six numbers.
+    back as seven and six numbers.  A search that does not converge raises, or is
+    only marked with ``must_converge`` off.
     """
     sums = _NestedSums(df, y, x, outer, inner)
     held: dict[str, DataFrame] = {}
@@ -381,8 +388,13 @@ def fit_nested_lines(
         return sums.gradient(params, state, reml, held["table"])
 
     start = np.array([0.7, 0.0, 0.2, 0.5, 0.0, 0.2])
-    params, state, iterations = _descend(start, value, slope, tolerance, max_iterations)
-    held.pop("table").unpersist()
+    try:
+        params, state, iterations, converged = _descend(start, value, slope, tolerance, max_iterations)
+    finally:
+        if "table" in held:
+            held.pop("table").unpersist()
+    if must_converge and not converged:
+        raise ArithmeticError(f"no convergence after {iterations} steps at criterion {state['criterion']}")
 
     # Back from the centred and scaled axis.
     back = np.array([[1.0, -sums.mean_x / sums.scale_x], [0.0, 1.0 / sums.scale_x]])
@@ -402,4 +414,5 @@ def fit_nested_lines(
         sums=sums,
         params=params,
         fitted_fixed=state["beta"],
+        converged=converged,
     )

@@ -247,7 +247,7 @@ def test_mixed_model_matches_dense(nested, reml):
 
 def test_mixed_model_gradient(nested):
     frame, _ = nested
-    sums = fit_nested_lines(frame, "speed", "number", "pitcher", "game", max_iterations=1).sums
+    sums = fit_nested_lines(frame, "speed", "number", "pitcher", "game", max_iterations=1, must_converge=False).sums
     from seasonloom.operators.trends import _covariances
 
     point = np.array([0.9, -0.1, 0.3, 0.6, 0.1, 0.25])
@@ -258,3 +258,25 @@ def test_mixed_model_gradient(nested):
             step = np.eye(6)[k] * 1e-4
             up, down = (sums.evaluate(point + s, reml)["criterion"] for s in (step, -step))
             assert slope[k] == pytest.approx((up - down) / 2e-4, rel=1e-4, abs=1e-4)
+
+
+def test_unfinished_fits_say_so(spark, cox_case, nested, monkeypatch):
+    frame = spark.createDataFrame([(t, t <= 20, float(t <= 20)) for t in range(1, 41)], "time long, hit boolean, x double")
+    with pytest.raises(ArithmeticError):
+        cox_fit(frame, "time", F.col("hit"), {"x": F.col("x")})
+    assert not cox_fit(frame, "time", F.col("hit"), {"x": F.col("x")}, must_converge=False).converged
+    rows = spark.createDataFrame([(t, t % 3 > 0, float(t * t % 7)) for t in range(1, 41)], "time long, hit boolean, x double")
+    args = (rows, "time", F.col("hit"), {"x": F.col("x")})
+    assert cox_fit(*args).converged
+    assert not cox_fit(*args, max_iterations=1, must_converge=False).converged
+    lines, _ = nested
+    with pytest.raises(ArithmeticError):
+        fit_nested_lines(lines, "speed", "number", "pitcher", "game", max_iterations=1)
+
+
+def test_failing_line_search_keeps_the_accepted_point(spark, monkeypatch):
+    rows = spark.createDataFrame([(t, t % 3 > 0, float(t * t % 7)) for t in range(1, 41)], "time long, hit boolean, x double")
+    score = survival._score
+    monkeypatch.setattr(survival, "_score", lambda r, z, b: (score(r, z, b) if not b.any() else (-math.inf, b, np.eye(len(b)))))
+    fit = cox_fit(rows, "time", F.col("hit"), {"x": F.col("x")}, must_converge=False)
+    assert not fit.converged and fit.coef.tolist() == [0.0] and fit.loglik == fit.loglik_null
