@@ -19,6 +19,10 @@ RECOMMENDED = {
 }
 
 
+# One temporary folder per local application that names none.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def apply_recommended(spark: SparkSession) -> SparkSession:
     for key, value in RECOMMENDED.items():
         spark.conf.set(key, value)
@@ -37,9 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="seasonloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="seasonloom-")
+    return _LOCAL_FOLDERS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,22 +12,27 @@ from pyspark.sql.types import StructType
 
 from seasonloom.functions.scalar import year_prefix
 
+HEADERS_AT_ONCE = 16
 
-def _scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+_SCHEME = r"^([a-z][a-z0-9+.-]*):/+"
+
+
+def _scan(spark: SparkSession, paths: str | list[str], nested: bool = False) -> DataFrame:
     """Text columns named by the header; ``NA`` and empty fields are missing.
 
     A quoted empty field stays an empty string.  ``enforceSchema`` is off, so a
     file whose header disagrees with the others is refused, never misread.
     """
     reader = spark.read.option("header", True).option("nullValue", "NA").option("enforceSchema", False)
-    return reader.csv(paths)
+    return reader.option("recursiveFileLookup", nested).csv(paths)
 
 
-def _typed(df: DataFrame, schema: str, keep_extra: bool) -> DataFrame:
-    """Cast the declared columns; unreadable text is missing."""
+def _typed(df: DataFrame, schema: str, keep_extra: bool, strict: bool = False) -> DataFrame:
+    """Cast the declared columns; unreadable text is missing, or fails the query if ``strict``."""
     fields = StructType.fromDDL(schema).fields
+    cast = (lambda c, kind: F.col(c).cast(kind)) if strict else (lambda c, kind: F.col(c).try_cast(kind))
     declared = [
-        F.col(f.name).try_cast(f.dataType).alias(f.name)
+        cast(f.name, f.dataType).alias(f.name)
         if f.name in df.columns
         else F.lit(None).cast(f.dataType).alias(f.name)
         for f in fields
@@ -35,41 +42,62 @@ def _typed(df: DataFrame, schema: str, keep_extra: bool) -> DataFrame:
     return df.select(*declared, *extra)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, keep_extra: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: str, keep_extra: bool = False, strict: bool = False
+) -> DataFrame:
     """Read a CSV file or folder, taking the declared columns by header name.
 
     Only the header is read when the plan is built.  Columns that are neither
-    declared nor used are not parsed.
+    declared nor used are not parsed.  ``strict`` makes text that does not read
+    as its declared type an error (under ANSI casts, Spark's default) and not a
+    missing value; ``keep_extra`` keeps undeclared columns as text.
     """
-    return _typed(_scan(spark, path), schema, keep_extra)
+    return _typed(_scan(spark, path), schema, keep_extra, strict)
 
 
-def _entry(path: str, root: str) -> Column:
-    """First component below ``root`` of the file path in column ``path``."""
-    below = F.substring_index(F.col(path), "/" + root.rstrip("/").split("/")[-1] + "/", -1)
+def _entry(path: str, base: str) -> Column:
+    """First component of the file path in column ``path`` below the folder ``base``."""
+    # One or three slashes may follow a scheme without a host.
+    plain = F.regexp_replace(path, _SCHEME, "$1:/")
+    below = F.substring(plain, len(re.sub(_SCHEME, r"\1:/", base)) + 2, 1 << 30)
     return F.substring_index(below, "/", 1)
 
 
+def _resolved(spark: SparkSession, root: str) -> tuple[str, str]:
+    """The folder as a path, and as the escaped address that file metadata show."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = system.makeQualified(path)
+    return full.toString().rstrip("/"), full.toUri().toString().rstrip("/")
+
+
 def read_by_year(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Read every entry of a folder; the year is the first four characters of its name.
 
     An entry is a file, or a folder of part files from one writer.  Entries are
     matched by column name: those that share a header are read in one scan, so
     there are as many scans as distinct headers.  One header per entry is read
-    up front; a part file that disagrees with its folder is refused.
+    up front; a part file that disagrees with its folder is refused.  A folder
+    without files is an error.
     """
-    root = root.rstrip("/")
+    base, address = _resolved(spark, root)
     # Only the listing is read: the content column is pruned away.
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     visible = listing.where(~F.substring_index("path", "/", -1).rlike("^[_.]"))
-    samples = visible.groupBy(_entry("path", root).alias("entry")).agg(F.min("path").alias("sample"))
+    samples = visible.groupBy(_entry("path", base).alias("entry")).agg(F.min("path").alias("sample"))
+    found = list(samples.orderBy("entry").toLocalIterator())
+    if not found:
+        raise FileNotFoundError(f"no season files below {root}")
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for row in samples.orderBy("entry").toLocalIterator():
-        by_header[tuple(_scan(spark, row.sample).columns)].append(f"{root}/{row.entry}")
+    # Reading a header is one tiny job per entry; many are under way at a time.
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        headers = list(pool.map(lambda row: tuple(_scan(spark, row.sample).columns), found))
+    for row, header in zip(found, headers, strict=True):
+        by_header[header].append(f"{base}/{row.entry}")
     frames = []
     for entries in by_header.values():
-        rows = _scan(spark, entries)
-        year = year_prefix(_entry("_metadata.file_path", root)).alias("year")
+        rows = _scan(spark, entries, nested=True)
+        year = year_prefix(_entry("_metadata.file_path", address)).alias("year")
         body = [c for c in rows.columns if c != "year"]
         frames.append(_typed(rows.select(year, *body), f"year int, {schema}", keep_extra=True))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

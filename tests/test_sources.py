@@ -1,8 +1,10 @@
 """Delimited sources, the year folder and the season sink."""
 
+import os
+
 import pytest
 
-from seasonloom.session import shared_dir, stage
+from seasonloom.session import shared_dir, stage, unstage
 from seasonloom.sources import schemas, tables
 
 
@@ -40,6 +42,33 @@ def test_year_folder_binds_by_name(spark, tmp_path):
     ]
 
 
+def test_year_folder_may_repeat_its_own_name(spark, tmp_path):
+    root = tmp_path / "data"
+    _write(root / "2010_all.csv" / "data", "part-0.csv", "pitcher_id,batters_faced,role\n4,1,reliever\n")
+    rows = tables.read_by_year(spark, str(root), schemas.SEASON_BY_FILE).collect()
+    assert [(r.year, r.pitcher_id) for r in rows] == [(2010, 4)]
+
+
+def test_year_folder_without_files_is_an_error(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        tables.read_by_year(spark, str(tmp_path / "none"), schemas.SEASON_BY_FILE)
+
+
+def test_strict_reading_refuses_unreadable_text(spark, tmp_path):
+    _write(tmp_path, "list.csv", "player_id,level,date_surgery\nx,MLB,1/1/20\n")
+    path = str(tmp_path / "list.csv")
+    assert tables.read_csv(spark, path, schemas.INTERNAL_BRACE).first().player_id is None
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        tables.read_csv(spark, path, schemas.INTERNAL_BRACE, strict=True).collect()
+
+
+def test_unstage_deletes_the_files(spark):
+    staged = stage(spark.range(5).toDF("id"), "probe")
+    unstage(staged)
+    assert not os.path.exists(staged.staged_at)
+
+
 def test_folder_with_mixed_headers_is_refused(spark, tmp_path):
     root = tmp_path / "mixed"
     _write(root, "a.csv", "player_id,level,date_surgery\n1,MLB,1/1/20\n")
