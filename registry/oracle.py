@@ -46,7 +46,7 @@ _VIEWS = {
           strftime(shifted, '%m/%d/%y') as date_surgery,
           case o_orderpriority when '1-URGENT' then 'Major' when '2-HIGH' then 'Minor'
             when '3-MEDIUM' then 'Amateur' end as level
-        from order_surgery where o_totalprice >= 455000 and o_totalprice < 1000000""",
+        from order_surgery where o_totalprice >= 455000""",
     "surgery_list": """
         select o_custkey as player_id,
           case o_orderpriority when '1-URGENT' then 'MLB' when '2-HIGH' then 'AAA'
@@ -181,6 +181,29 @@ _VIEWS = {
           left join player p on s.pitcher_id = p.player_id)
         where position = 'P' and year >= (select min(year) from season_by_file)
           and (level = 'MLB' or batters_faced >= 27)""",
+    "season_rows": """
+        select year, player_id as pitcher_id, batters_faced,
+          case when games <= 1 then null when pitches >= 75 * games then 'starter' else 'reliever' end as role
+        from season""",
+    "level_timeline": """
+        select year, pitcher_id, last_value(role ignore nulls) over (
+            partition by pitcher_id order by year nulls last
+            rows between unbounded preceding and current row) as known
+        from (select year, pitcher_id, max(role) as role
+              from (select year, pitcher_id, role from season_rows
+                    union all select year, player_id, null from listed) group by all)""",
+    "baseline_levels": """
+        select s.year, s.pitcher_id, p.name_full, s.batters_faced, coalesce(s.role, t.known) as role,
+          s.level, s.date_surgery
+        from (select coalesce(s.year, l.year) as year, coalesce(s.pitcher_id, l.player_id) as pitcher_id,
+                s.batters_faced, s.role, l.level, l.date_surgery
+              from season_rows s full join listed l
+                on s.year is not distinct from l.year and s.pitcher_id is not distinct from l.player_id) s
+        left join level_timeline t
+          on t.year is not distinct from s.year and t.pitcher_id is not distinct from s.pitcher_id
+        join player p on s.pitcher_id = p.player_id and p.position = 'P'
+        where s.year >= (select min(year) from season_rows)
+          and (s.level = 'MLB' or s.batters_faced >= 27)""",
     "baseline_rates": """
         select year, role, yes + no as count, yes / (yes + no) as injury_rate
         from (
@@ -285,8 +308,10 @@ _STATEMENTS = {
     "reconcile_vendor": "select * from minors_blend",
     "reconcile_level": "select * from tracking",
     "pitch_tracking": "select * from tracking",
+    "pitch_tracking_csv": "select * from tracking",
     "listed_surgeries": "select * from listed",
     "ucl_injury": "select * from injury",
+    "ucl_injury_csv": "select * from injury",
     "surgeries_by_year_level": """
         select year, case when level = 'MLB' then 'MLB' when level <> 'MLB' then 'Minors/Amateur' end as level,
           count(*) as n
@@ -321,11 +346,13 @@ _STATEMENTS = {
         select year, level_pss, avg(cast(fb_velo is null as double)) as missing_rate
         from velo_cohort where year > 2012 group by all""",
     "baseline_cohort": "select * from baseline",
+    "baseline_cohort_levels": "select * from baseline_levels",
     "baseline_risk": "select * from baseline_rates order by role nulls last, year nulls last",
     "baseline_risk_display": """
         select year, role, count, round(injury_rate, 3) as injury_rate from baseline_rates""",
     "pitch_sequence": "select game_id, pitcher_id, play_id, pitch_number from enriched",
     "pitch_enriched": "select * from enriched",
+    "pitch_enriched_csv": "select * from enriched",
     "pitch_type_counts": "select pitcher_id, pitch_type, count(*) as n from pitch group by all",
     "primary_pitch": "select * from primary_type",
     "starters": "select * from starter",

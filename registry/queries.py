@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seasonloom.functions import scalar
 from seasonloom.operators import aggregate, joins, reshape, windows
 from seasonloom.plans import cohort, injuries, pitches, survival, tracking, velocity
-from seasonloom.session import scratch_path, stage
+from seasonloom.session import apply_recommended, scratch_path, stage
 from seasonloom.sources import schemas, tables
 from seasonloom.sources.driver_views import DriverViews
 
@@ -25,7 +25,7 @@ _QUERIES: dict[str, Query] = {}
 
 
 def _query(build: Callable[[DriverViews], DataFrame]) -> Callable[[DriverViews], DataFrame]:
-    _QUERIES[build.__name__] = lambda spark, sf_dir: build(DriverViews(spark, sf_dir))
+    _QUERIES[build.__name__] = lambda spark, sf_dir: build(DriverViews(apply_recommended(spark), sf_dir))
     return build
 
 
@@ -90,7 +90,7 @@ def filter_scalar_min(v: DriverViews) -> DataFrame:
 
 @_query
 def player_lookup(v: DriverViews) -> DataFrame:
-    return v.player().where(F.col("player_id") == 42).select("name_full")
+    return velocity.named_player(v.player(), 42)
 
 
 @_query
@@ -232,6 +232,31 @@ def year_histogram(v: DriverViews) -> DataFrame:
     return injuries.surgery_histogram(_listed(v))
 
 
+def _written(v: DriverViews, **frames: DataFrame) -> list[str]:
+    """The frames as CSV folders, in the order given."""
+    paths = []
+    for name, frame in frames.items():
+        paths.append(scratch_path(v.spark, name))
+        tables.write_csv(frame, paths[-1])
+    return paths
+
+
+@_query
+def pitch_tracking_csv(v: DriverViews) -> DataFrame:
+    paths = _written(
+        v, majors=v.majors_hawkeye(), minors_hawkeye=v.minors_hawkeye(), minors_trackman=v.minors_trackman()
+    )
+    return tracking.read_pitch_tracking(v.spark, *paths)
+
+
+@_query
+def ucl_injury_csv(v: DriverViews) -> DataFrame:
+    paths = _written(
+        v, reported=v.reported_injury(), tommy_john=v.tommy_john(), internal_brace=v.internal_brace()
+    )
+    return injuries.read_ucl_injuries(v.spark, *paths)
+
+
 # Seasons and cohorts
 
 
@@ -253,6 +278,13 @@ def _baseline(v: DriverViews) -> DataFrame:
     return cohort.baseline_cohort(season_files, _listed(v), v.player())
 
 
+@_query
+def baseline_cohort_levels(v: DriverViews) -> DataFrame:
+    """The baseline cohort over season files that list a pitcher once per level."""
+    season_files = stage(v.season_rows(), "season-rows")
+    return cohort.baseline_cohort(season_files, _listed(v), v.player())
+
+
 @_query
 def season_rollup(v: DriverViews) -> DataFrame:
     return cohort.season_rollup(v.season())
@@ -330,6 +362,14 @@ def pitch_enriched(v: DriverViews) -> DataFrame:
     return _pitches(v)
 
 
+@_query
+def pitch_enriched_csv(v: DriverViews) -> DataFrame:
+    """Enrichment from files; the extra columns arrive as text and are cast back."""
+    paths = _written(v, pitch=v.pitch(), event=v.event(), game=v.game(), biomechanics=v.biomechanics())
+    enriched = pitches.read_enriched_pitches(v.spark, *paths)
+    return enriched.withColumns({"inning": F.col("inning").cast("int"), "metric": F.col("metric").cast("int")})
+
+
 @_query
 def pitch_type_counts(v: DriverViews) -> DataFrame:
     return pitches.pitch_type_counts(v.pitch())

@@ -136,10 +136,10 @@ def baseline_cohort(
     """Player-seasons of the per-file summaries joined with listed surgeries.
 
     Here surgeries join before roles are filled, so a season known only from a
-    surgery inherits the last role.  Roles come from the season files alone, and
-    every row of one player-season shares that season's role, so the fill runs
-    on distinct player-seasons: a window holds one row per season however many
-    surgeries repeat it.
+    surgery inherits the last role.  A row keeps its own role where it has one.
+    A missing role is the last known one of the seasons before, or else of the
+    same season; of several in one season the last in alphabetical order counts.
+    The fill runs on one row per player and season.
     """
     pitchers = player.where("position = 'P'").select("player_id", "name_full")
     surgeries = listed.select(
@@ -147,9 +147,10 @@ def baseline_cohort(
     )
     keys = ["year", "pitcher_id"]
     joined = full_join(season_files, surgeries, keys)
-    timeline = role_by_season(season_files, surgeries)
-    timeline = fill_down(timeline, ["pitcher_id"], ["year"], "role")
-    with_role = left_join(joined.drop("role"), timeline, keys)
+    timeline = role_by_season(season_files, surgeries).withColumnRenamed("role", "known_role")
+    timeline = fill_down(timeline, ["pitcher_id"], ["year"], "known_role")
+    filled = left_join(joined, timeline, keys)
+    with_role = filled.withColumn("role", F.coalesce("role", "known_role")).drop("known_role")
     named = with_role.join(pitchers, F.col("pitcher_id").eqNullSafe(F.col("player_id")))
     first_covered = season_files.agg(F.min("year")).scalar()
     counted = (F.col("level") == "MLB") | (F.col("batters_faced") >= min_batters)

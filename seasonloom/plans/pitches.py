@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seasonloom.functions.scalar import fps_to_mph, ratio
 from seasonloom.operators.aggregate import group_count
 from seasonloom.operators.joins import inner_join, left_join
 from seasonloom.operators.windows import first_ranked, running_index
+from seasonloom.sources import schemas
+from seasonloom.sources.tables import read_csv
 
 STARTER_PITCHES = 75
 FASTBALLS = ("FF", "SI")
@@ -37,6 +39,18 @@ def enrich_pitches(
     return running_index(joined, keys, order, "pitch_number", ties)
 
 
+def read_enriched_pitches(
+    spark: SparkSession, pitch: str, event: str, game: str, biomechanics: str
+) -> DataFrame:
+    """``enrich_pitches`` over four CSV paths; columns no schema names are kept as text."""
+    return enrich_pitches(
+        read_csv(spark, pitch, schemas.PITCH, keep_extra=True),
+        read_csv(spark, event, schemas.EVENT, keep_extra=True),
+        read_csv(spark, game, schemas.GAME, keep_extra=True),
+        read_csv(spark, biomechanics, schemas.BIOMECHANICS, keep_extra=True),
+    )
+
+
 def _type_game_counts(pitches: DataFrame) -> DataFrame:
     """Pitches per pitcher, type and game: the one reduction both rules start from."""
     return group_count(pitches, "pitcher_id", "pitch_type", "game_id")

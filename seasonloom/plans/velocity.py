@@ -54,7 +54,11 @@ def fitted_pitches(
     return rows.select("pitcher_id", "game_id", "date", NUMBER, SPEED, fitted.alias("fitted_mph"))
 
 
+def named_player(player: DataFrame, player_id: int) -> DataFrame:
+    """Name of one player, as rows; the filter reaches the scan."""
+    return player.where(F.col("player_id") == player_id).select("name_full")
+
+
 def player_name(player: DataFrame, player_id: int) -> str | None:
-    """Name of one player; the filter reaches the scan."""
-    row = player.where(F.col("player_id") == player_id).select("name_full").first()
+    row = named_player(player, player_id).first()
     return row[0] if row else None

@@ -12,7 +12,7 @@ YEAR_SHIFT = 13
 
 # Order prices run evenly from 1,000 to 500,000.  The bands overlap, so that
 # some surgeries are both reported and listed.
-REPORTED_PRICES = (455_000, 1_000_000)
+REPORTED_PRICES = (455_000, None)
 LISTED_PRICES = (425_000, 480_000)
 UNDATED_PRICES = (460_000, 464_000)
 
@@ -102,6 +102,17 @@ class DriverViews:
             "year", "pitcher_id", "batters_faced", F.when(recorded, role).alias("role")
         )
 
+    def season_rows(self) -> DataFrame:
+        """One row per season, level and pitcher, each with its own role or none."""
+        recorded = F.col("games") > 1
+        role = F.when(F.col("pitches") >= 75 * F.col("games"), "starter").otherwise("reliever")
+        return self.season().select(
+            "year",
+            F.col("player_id").alias("pitcher_id"),
+            "batters_faced",
+            F.when(recorded, role).alias("role"),
+        )
+
     def _tracking(self, flag: str, key: str) -> DataFrame:
         groups = (
             self.table("lineitem")
@@ -128,12 +139,17 @@ class DriverViews:
     def minors_trackman(self) -> DataFrame:
         return self._tracking("R", "pitcher_id")
 
-    def _surgery_rows(self, low: int, high: int) -> DataFrame:
-        """Orders in a price band stand for surgeries; one narrow band is undated."""
+    def _surgery_rows(self, low: int, high: int | None) -> DataFrame:
+        """Orders in a price band stand for surgeries; one narrow band is undated.
+
+        A band without an upper end takes every dearer order.
+        """
         shifted = F.add_months(F.col("o_orderdate").cast("date"), 12 * YEAR_SHIFT)
         undated = F.col("o_totalprice").between(*UNDATED_PRICES)
         date = F.when(~undated, shifted)
-        in_band = (F.col("o_totalprice") >= low) & (F.col("o_totalprice") < high)
+        in_band = F.col("o_totalprice") >= low
+        if high is not None:
+            in_band &= F.col("o_totalprice") < high
         return self.table("orders").where(in_band).withColumns(
             {"year": F.year(date), "date_surgery": F.date_format(date, "MM/dd/yy")}
         )

@@ -15,9 +15,9 @@ SEASON_SUMMARY = (
 SEASON_BY_FILE = "pitcher_id bigint, batters_faced bigint, role string"
 PLAYER = "player_id bigint, name_full string, position string"
 PITCH = (
-    "game_id bigint, event_index int, play_index int, play_id string, "
+    "game_id bigint, event_index bigint, play_index bigint, play_id string, "
     "pitch_type string, release_speed double, pitcher_id bigint"
 )
-EVENT = "game_id bigint, event_index int"
+EVENT = "game_id bigint, event_index bigint"
 GAME = "game_id bigint, date date"
 BIOMECHANICS = "org_movement_id string"

@@ -317,3 +317,16 @@ def test_baseline_fills_role_after_the_join(spark):
     assert set(_values(rows, "year", "pitcher_id", "role", "level")) == {
         (2010, 1, "starter", None), (2011, 1, "starter", None), (2012, 1, "starter", "MLB"),
     }
+
+
+def test_baseline_keeps_the_roles_of_several_rows_in_a_season(spark):
+    seasons = spark.createDataFrame(
+        [(2010, 1, 40, "starter"), (2010, 1, 41, "reliever"), (2011, 1, 40, None)],
+        "year int, pitcher_id int, batters_faced long, role string",
+    )
+    listed = spark.createDataFrame([], "player_id int, level string, date_surgery date, surgery string, year int")
+    player = spark.createDataFrame([(1, "one", "P")], "player_id int, name_full string, position string")
+    rows = cohort.baseline_cohort(seasons, listed, player)
+    assert set(_values(rows, "year", "batters_faced", "role")) == {
+        (2010, 40, "starter"), (2010, 41, "reliever"), (2011, 40, "starter"),
+    }
