@@ -236,6 +236,106 @@ _VIEWS = {
 }
 
 
+def _significant(expression: str) -> str:
+    """Six significant digits, like the Spark side."""
+    return f"cast(format('{{:.5e}}', {expression}) as double)"
+
+
+def _cox(steps: int = 8) -> str:
+    """Newton's method with Efron's ties, one block per step; two standardised covariates.
+
+    The common table expressions end with the fit b, s and risk sets r of the last step.
+    """
+    sums = {"0": "1", "1": "z1", "2": "z2", "11": "z1 * z1", "12": "z1 * z2", "22": "z2 * z2"}
+    blocks = ["b0 as materialized (select 0.0::double as b1, 0.0::double as b2)"]
+    for k in range(steps + 1):
+        at_time = ", ".join(
+            f"sum(w * {e}) as a{i}, coalesce(sum(w * {e}) filter (event), 0) as e{i}" for i, e in sums.items()
+        )
+        risk = ", ".join(f"sum(a{i}) over (order by time desc) as s{i}" for i in sums)
+        phi = ", ".join(f"s{i} - l / d * e{i} as p{i}" for i in sums)
+        blocks.append(f"""t{k} as materialized (
+            select time, sum(n) as n_rows, coalesce(sum(n) filter (event), 0) as d, {at_time},
+              coalesce(sum(n * z1) filter (event), 0) as x1, coalesce(sum(n * z2) filter (event), 0) as x2
+            from (select *, n * exp(b1 * z1 + b2 * z2) as w from standard, b{k}) group by time)""")
+        blocks.append(f"""r{k} as materialized (
+            select *, sum(n_rows) over (order by time desc) as n_risk, {risk} from t{k})""")
+        blocks.append(f"""s{k} as materialized (
+            select sum(case when l = 0 then x1 else 0 end - p1 / p0) as u1,
+              sum(case when l = 0 then x2 else 0 end - p2 / p0) as u2,
+              sum(p11 / p0 - p1 * p1 / (p0 * p0)) as i11, sum(p12 / p0 - p1 * p2 / (p0 * p0)) as i12,
+              sum(p22 / p0 - p2 * p2 / (p0 * p0)) as i22
+            from (select l, x1, x2, {phi}
+                  from (select *, unnest(range(cast(d as bigint))) as l from r{k} where d > 0)))""")
+        blocks.append(f"""b{k + 1} as materialized (
+            select b1 + (i22 * u1 - i12 * u2) / (i11 * i22 - i12 * i12) as b1,
+              b2 + (i11 * u2 - i12 * u1) / (i11 * i22 - i12 * i12) as b2 from b{k}, s{k})""")
+    joined = ",".join(blocks)
+    return f"""
+      with grouped as materialized (
+        select batters_faced as time, date_surgery is not null as event,
+          cast(role = 'starter' as double) as x1, cast(previous_pitches as double) as x2, count(*) as n
+        from cohort where role is not null and previous_pitches is not null and batters_faced is not null
+        group by all),
+      middle as materialized (
+        select sum(n * x1) / sum(n) as m1, sum(n * x2) / sum(n) as m2, sum(n) as n_all from grouped),
+      spread as materialized (
+        select m1, m2, sqrt(sum(n * (x1 - m1) ^ 2) / any_value(n_all)) as k1,
+          sqrt(sum(n * (x2 - m2) ^ 2) / any_value(n_all)) as k2 from grouped, middle group by m1, m2),
+      standard as materialized (
+        select time, event, n, (x1 - m1) / k1 as z1, (x2 - m2) / k2 as z2 from grouped, spread),
+      {joined},
+      fit as materialized (
+        select b1, b2, i11, i12, i22, i11 * i22 - i12 * i12 as det, m1, m2, k1, k2
+        from b{steps}, s{steps}, spread),
+      risk_sets as (select * from r{steps})"""
+
+
+def _cox_fit() -> str:
+    columns = ", ".join(
+        f"{_significant(e)} as {name}"
+        for name, e in (("coef", "c"), ("hazard_ratio", "exp(c)"), ("std_err", "se"), ("z", "c / se"))
+    )
+    return f"""{_cox()},
+      terms as (
+        select 'role_starter' as term, b1 / k1 as c, sqrt(i22 / det) / k1 as se from fit
+        union all
+        select 'previous_pitches', b2 / k2, sqrt(i11 / det) / k2 from fit)
+      select term, {columns} from terms"""
+
+
+def _cox_curve() -> str:
+    """The fit's curve for a reliever with the mean of last year's pitches."""
+    phi = ", ".join(f"s{i} - l / d * e{i} as p{i}" for i in ("0", "1", "2"))
+    numbers = {
+        "cum_hazard": "hazard",
+        "survival": "exp(-hazard)",
+        "std_err": "se",
+        "lower": "exp(-hazard - 1.959963984540054 * se)",
+        "upper": "least(1.0, exp(-hazard + 1.959963984540054 * se))",
+    }
+    columns = ", ".join(f"{_significant(e)} as {name}" for name, e in numbers.items())
+    return f"""{_cox()},
+      jumps as (
+        select time, sum(1 / p0) as h, sum(1 / (p0 * p0)) as v,
+          sum((p1 / p0 + m1 / k1) / p0) as q1, sum((p2 / p0) / p0) as q2
+        from (select time, m1, k1, {phi}
+              from (select *, unnest(range(cast(d as bigint))) as l from risk_sets where d > 0), fit)
+        group by time),
+      steps as (
+        select time, n_risk, d as n_event, n_rows - d as n_censor, sum(coalesce(h, 0)) over w as h,
+          sum(coalesce(v, 0)) over w as v, sum(coalesce(q1, 0)) over w as q1, sum(coalesce(q2, 0)) over w as q2
+        from risk_sets left join jumps using (time) window w as (order by time)
+        union all
+        select 0, sum(n), 0, 0, 0, 0, 0, 0 from grouped having min(time) > 0),
+      curve as (
+        select *, exp(-m1 / k1 * b1) * h as hazard, exp(-m1 / k1 * b1)
+          * sqrt(v + (q1 * q1 * i22 - 2 * q1 * q2 * i12 + q2 * q2 * i11) / det) as se
+        from steps, fit)
+      select cast(time as bigint) as time, cast(n_risk as bigint) as n_risk, cast(n_event as bigint) as n_event,
+        cast(n_censor as bigint) as n_censor, {columns} from curve"""
+
+
 def _km(stratum: str) -> str:
     return f"""
       with per_time as (
@@ -332,6 +432,8 @@ _STATEMENTS = {
         left join counts c on g.level is not distinct from c.level and g.bin = c.bin""",
     "season_rollup": "select * from rollup_",
     "survival_cohort": "select * from cohort",
+    "cox_fit": _cox_fit(),
+    "cox_curve": _cox_curve(),
     "injury_counts": """
         select year, level, date_surgery is not null as injury, count(*) as n from cohort group by all""",
     "injury_rate_year_level": """

@@ -407,14 +407,20 @@ def km_by_level(v: DriverViews) -> DataFrame:
     return _stratum(v, "level")
 
 
-@_fit
+def _significant(df: DataFrame) -> DataFrame:
+    """Six significant digits of every number, in which two engines' sums agree."""
+    numbers = [n for n, t in df.dtypes if t == "double"]
+    return df.withColumns({n: F.format_string("%.5e", n).cast("double") for n in numbers})
+
+
+@_query
 def cox_fit(v: DriverViews) -> DataFrame:
-    return survival.injury_cox(_survival_cohort(v)).table()
+    return _significant(survival.injury_cox(_survival_cohort(v)).table())
 
 
-@_fit
+@_query
 def cox_curve(v: DriverViews) -> DataFrame:
-    return survival.injury_cox_curve(_survival_cohort(v))
+    return _significant(survival.injury_cox_curve(_survival_cohort(v)))
 
 
 @_fit
@@ -422,22 +428,22 @@ def velo_ols_game(v: DriverViews) -> DataFrame:
     return velocity.velo_ols_game(_model_data(v))
 
 
-@_fit
+@_query
 def velo_decay_fixed(v: DriverViews) -> DataFrame:
     return velocity.velo_decay(_model_data(v)).fixed_effects()
 
 
-@_fit
+@_query
 def velo_decay_pitcher(v: DriverViews) -> DataFrame:
     return velocity.pitcher_effects(velocity.velo_decay(_model_data(v)), v.player())
 
 
-@_fit
+@_query
 def velo_decay_game(v: DriverViews) -> DataFrame:
     return velocity.game_effects(velocity.velo_decay(_model_data(v)), v.player(), v.game())
 
 
-@_fit
+@_query
 def velo_fitted(v: DriverViews) -> DataFrame:
     model_data = _model_data(v)
     effects = velocity.game_effects(velocity.velo_decay(model_data), v.player(), v.game())

@@ -9,9 +9,9 @@ from pyspark.sql.types import IntegralType
 
 from seasonloom.operators.joins import left_join
 
-# Chunks per chunk of the next level of a running total, as a power of two.  Four
-# levels of 2^16 hold all 64-bit positions.
-CHUNK_BITS = 16
+# Chunks per chunk of the next level of a running total, as a power of two.  Three
+# levels of 2^22 hold all 64-bit positions.
+CHUNK_BITS = 22
 
 
 def running_index(
