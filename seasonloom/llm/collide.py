@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seasonloom.llm.shipping import shipped
+
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -151,6 +153,7 @@ def search(
     query_block: int = 512,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: each query's best among ``vectors``."""
+    shipped(vectors.sparkSession)
     some = _usable(vectors, key, embedding)
     asked = _usable(queries, key, embedding)
     facts = some.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).first()

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seasonloom.llm.bytetext import LOWER, SEPARATORS, combine, hashes, joined, slices, spans
+from seasonloom.llm.shipping import shipped
 
 _NEWLINE = 0x0A
 
@@ -239,6 +240,7 @@ def held_out(column: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, chain: int = 32) -> Model:
     """Model of at most ``sample_rows`` labelled documents that are not held out."""
+    shipped(docs.sparkSession)
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
         .groupBy("doc_id")
@@ -270,6 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, chain: in
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score``; one pass, no shuffle."""
+    shipped(docs.sparkSession)
     kept = docs.drop("score")
     schema = T.StructType([*kept.schema, T.StructField("score", T.DoubleType(), False)])
     at = kept.columns.index(text)

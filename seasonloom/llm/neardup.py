@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from seasonloom.llm.bytetext import slices
 from seasonloom.llm.sketch import Layout, estimate, registers, shingles
+from seasonloom.llm.shipping import shipped
 from seasonloom.session import stage
 
 SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
@@ -235,6 +236,7 @@ def across(members: DataFrame, labels: DataFrame, elements: DataFrame, settings:
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``."""
+    shipped(docs.sparkSession)
     signed = stage(signatures(docs, settings, text), "neardup-signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     key = ["set_a", "set_b", "n_shingles"]

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seasonloom.llm.bytetext import slices
+from seasonloom.llm.shipping import shipped
 
 # Element names of HTML.
 BLOCK = set(
@@ -279,6 +280,7 @@ def fit(
 
 def train(pages: DataFrame, sample_pages: int = 300) -> Labeller:
     """Labeller from about ``sample_pages`` pages."""
+    shipped(pages.sparkSession)
     share = min(1.0, sample_pages / max(1, pages.count()))
     limit = min(int(-(2**63) + share * (2**64 - 1)), 2**63 - 1)
     chosen = pages.where(F.xxhash64("page_id") <= F.lit(limit)).select("page_id", "html")
@@ -300,6 +302,7 @@ def train(pages: DataFrame, sample_pages: int = 300) -> Labeller:
 
 def extract(pages: DataFrame, labeller: Labeller, threshold: float = 0.5) -> DataFrame:
     """``pages`` without ``html``, with ``text`` and ``n_chars``; one pass, no shuffle."""
+    shipped(pages.sparkSession)
     kept = [f for f in pages.schema.fields if f.name not in {"html", "text", "n_chars"}]
     schema = T.StructType([*kept, T.StructField("text", T.StringType(), False), T.StructField("n_chars", T.LongType(), False)])
     last = len(kept)

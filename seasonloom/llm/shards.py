@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seasonloom.llm.shipping import shipped
+
 OVERHEAD = 16
 _RUN = 1024
 OUTPUT = ["size", "text_crc32", "shard", "slot"]
@@ -58,6 +60,7 @@ def shuffled(
     text: str = "text",
 ) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot``."""
+    shipped(docs.sparkSession)
     kept = docs.drop(*OUTPUT)
     sized = kept.withColumn("size", row_size(text))
     total = sized.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()

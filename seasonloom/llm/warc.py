@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from seasonloom.llm.shipping import shipped
+
 SKIPPABLE = 0x184D2A5D  # the frame type reserved for a dictionary
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -152,6 +154,8 @@ class _Archive:
 def write(rows: DataFrame, folder: str, trained: bytes, archive_bytes: int = 256 << 20) -> DataFrame:
     """Write classified rows below ``folder``; one manifest row per archive."""
 
+    shipped(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, done = None, []
         for batch in batches:
@@ -223,6 +227,7 @@ def parse(record: bytes) -> dict | None:
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """All page records of the archives in a manifest, one task per archive."""
+    shipped(spark)
     paths = manifest.select("path").repartition(max(1, manifest.count()), "path")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
