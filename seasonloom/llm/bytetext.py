@@ -80,26 +80,38 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span: a polynomial of its bytes, mixed with its length."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    lengths = ends - starts
+def _polynomials(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     longest = int(lengths.max())
     powers = _POWERS if longest <= _STEP else _powers(longest)
-    total = int(lengths.sum())
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    within = np.arange(total) - np.repeat(first, lengths)
+    first = np.cumsum(lengths) - lengths
+    within = np.arange(int(lengths.sum()), dtype=np.int32 if longest < 1 << 30 else np.int64)
+    within -= np.repeat(first.astype(within.dtype), lengths)
     with np.errstate(over="ignore"):
         terms = (data[within + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * powers[within]
         sums = np.zeros(len(starts), dtype=np.uint64)
         full = lengths > 0
         if full.any():
             sums[full] = np.add.reduceat(terms, first[full])
-    return combine(sums, lengths.astype(np.uint64))
+    return sums
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """64-bit hash of each span: a polynomial of its bytes, mixed with its length.
+
+    Spans are worked on about ``step`` bytes at a time, which bounds the scratch arrays.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    lengths = ends - starts
+    part = np.cumsum(lengths) // step
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(starts)]))
+    sums = [
+        _polynomials(data, starts[a:b], lengths[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)
+    ]
+    return combine(np.concatenate(sums), lengths.astype(np.uint64))
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20):
     """Consecutive parts of a batch whose texts hold about ``limit`` bytes (one row at least)."""
     lengths = np.zeros(batch.num_rows, dtype=np.int64)
     texts = batch.column(column).cast(pa.large_binary())

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seasonloom.llm.bytetext import hashes, joined, ragged, slices
+from seasonloom.llm.shipping import shipped
 
 SPACE = "▁".encode()
 _SPACES = np.frombuffer(SPACE, dtype=np.uint8)
@@ -158,14 +159,15 @@ def _squeezed(parts: list[tuple[bytes, int]], end: int) -> tuple[list[tuple[byte
 class Segments:
     """Pieces of the segments met so far; emptied when it holds ``limit`` of them."""
 
-    def __init__(self, encoder: Encoder, limit: int = 1 << 20):
+    def __init__(self, encoder: Encoder, limit: int = 1 << 18):
         self.encoder, self.limit = encoder, limit
         self.lone = [encoder.library.piece_to_id("▁")]
         self._empty()
 
     def _empty(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
-        self.row = self.head = self.size = self.ids = self.width = self.end = np.zeros(0, dtype=np.int64)
+        self.row = self.head = self.size = np.zeros(0, dtype=np.int64)
+        self.ids = self.width = self.end = np.zeros(0, dtype=np.int32)
 
     def rows(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Row of each segment ``data[starts:ends]``, given ascending different hashes."""
@@ -202,9 +204,9 @@ class Segments:
         end -= np.repeat((end - width)[head], size)
         self.head = np.concatenate((self.head, head + len(self.ids)))
         self.size = np.concatenate((self.size, size))
-        self.ids = np.concatenate((self.ids, ids))
-        self.width = np.concatenate((self.width, width))
-        self.end = np.concatenate((self.end, end))
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+        self.width = np.concatenate((self.width, width.astype(np.int32)))
+        self.end = np.concatenate((self.end, end.astype(np.int32)))
 
 
 class Encoder:
@@ -302,13 +304,14 @@ OUTPUT = [
 ]
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", step_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text: str = "text", step_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` without ``text``, with ``ids``, ``begins``, ``ends`` and ``decoded``.
 
     ``begins`` and ``ends`` are byte offsets into the UTF-8 text; ``decoded`` is the
     library's decode of the ids.  One pass over the rows, no shuffle; a task works on
     about ``step_bytes`` of text at a time.
     """
+    shipped(docs.sparkSession)
     names = [name for name, _, _ in OUTPUT]
     passed = [f for f in docs.schema.fields if f.name not in {*names, text}]
     schema = T.StructType([*passed, *(T.StructField(n, t, False) for n, t, _ in OUTPUT)])
