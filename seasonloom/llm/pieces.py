@@ -269,7 +269,13 @@ class Encoder:
         blank = data == NORMAL_SPACE
         first = np.zeros(len(data), dtype=bool)
         first[bounds[:-1]] = True
-        cut = blank & (first | np.concatenate(([True], ~blank[:-1])))
+        # A blank joins the one before it, also one that the text spells as its own mark.
+        joins = np.concatenate(([False], blank[:-1]))
+        mark = np.ones(max(len(data) - 3, 0), dtype=bool)
+        for k, byte in enumerate(_SPACES):
+            mark &= data[k : len(data) - 3 + k] == byte
+        joins[3:] |= mark
+        cut = blank & (first | ~joins)
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
         empty = np.diff(bounds) == 1
