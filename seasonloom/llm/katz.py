@@ -29,8 +29,10 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasonloom.llm.bytetext import LOWER, combine, hashes, joined, mix, slices, spans
-from seasonloom.session import scratch_path, stage
+from seasonloom.llm.shipping import shipped
+from seasonloom.session import scratch_path, stage, unstage
 
 CUT = 5
 START, END = (int(x) for x in mix(np.array([1, 2], dtype=np.uint64)).view(np.int64))
@@ -53,7 +56,6 @@ class Tokens:
     token: np.ndarray
     history: np.ndarray
     text: np.ndarray
-    marks: np.ndarray
 
 
 def tokens(texts: pa.Array) -> Tokens:
@@ -67,8 +69,7 @@ def tokens(texts: pa.Array) -> Tokens:
     history = np.empty_like(token)
     history[1:] = token[:-1]
     history[np.cumsum(n) - n] = np.int64(START).astype(np.uint64)
-    raw, limits = joined(texts)
-    return Tokens(token, history, np.repeat(np.arange(len(n)), n), hashes(raw, limits[:-1], limits[1:] - 1))
+    return Tokens(token, history, np.repeat(np.arange(len(n)), n))
 
 
 def _bucket(history: np.ndarray, token: np.ndarray, buckets: int) -> np.ndarray:
@@ -80,6 +81,21 @@ def bucket_of(history: Column, token: Column, buckets: int) -> Column:
     return F.pmod(spread, F.lit(buckets)).cast("int")
 
 
+def _order(bucket: np.ndarray, gram: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+    """Order by bucket, n-gram and text through one packed key.
+
+    The key keeps as many bits of the n-gram's hash as fit.  N-grams that share them may
+    mix, which only splits an n-gram's list in two: lists are cut where the n-gram changes.
+    """
+    if not len(bucket):
+        return bucket
+    high = int(bucket.max()).bit_length()
+    low = int(text.max()).bit_length() if text is not None else 0
+    packed = (gram >> np.uint64(high)) >> np.uint64(low) << np.uint64(low)
+    packed |= bucket.astype(np.uint64) << np.uint64(64 - high) if high else np.uint64(0)
+    return np.argsort(packed | text.astype(np.uint64) if low else packed)
+
+
 def _starts(*columns: np.ndarray) -> np.ndarray:
     new = np.zeros(len(columns[0]), dtype=bool)
     new[:1] = True
@@ -97,7 +113,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, 4 << 20):
                 word, count = np.unique(tokens(part.column(0)).token, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["w", "c"])
 
@@ -116,7 +132,7 @@ def pair_counts(docs: DataFrame, buckets: int, min_count: int) -> DataFrame:
             for part in slices(batch, 0, 8 << 20):
                 t = tokens(part.column(0))
                 bucket = _bucket(t.history, t.token, buckets)
-                order = np.lexsort((t.token, t.history, bucket))
+                order = _order(bucket, combine(t.history, t.token))
                 h, w, bucket = t.history[order], t.token[order], bucket[order]
                 edge = _starts(bucket, h, w)
                 count = np.diff(np.append(edge, len(h)))
@@ -129,7 +145,7 @@ def pair_counts(docs: DataFrame, buckets: int, min_count: int) -> DataFrame:
 
     def merge(group: pa.Table) -> pa.Table:
         h, w, c = (group[k].combine_chunks().flatten().to_numpy(zero_copy_only=False) for k in ("h", "w", "c"))
-        order = np.lexsort((w, h))
+        order = np.argsort(combine(h.view(np.uint64), w.view(np.uint64)))
         h, w, c = h[order], w[order], c[order].astype(np.int64)
         edge = _starts(h, w)
         c = np.add.reduceat(c, edge)
@@ -176,7 +192,11 @@ def _discounted(count: str, factors: list[float]) -> Column:
 
 @dataclass
 class Model:
-    """``path`` holds the n-grams (order, h, w, c, p, logp, backoff), partitioned by order."""
+    """``path`` holds the n-grams (order, h, w, c, logp, weight), partitioned by order.
+
+    The weight is a unigram's log10 backoff as a history, and a bigram's gain: the log10 of
+    its probability over that of its backoff.
+    """
 
     path: str
     train_tokens: int
@@ -185,33 +205,39 @@ class Model:
     start_backoff: float
 
     def ngrams(self, spark, order: int) -> DataFrame:
-        schema = "h long, w long, c long, p double, logp double, backoff double"
+        schema = "h long, w long, c long, logp double, weight double"
         return spark.read.schema(schema).parquet(f"{self.path}/order={order}")
 
 
 def _settle(spark) -> None:
-    """Let Spark remove the shuffle files of what has just been staged."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of what has been staged.
+
+    Its cleaner works, in a thread of its own, on what the driver's garbage collection
+    finds; references between the two sides take a second round.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def train(docs: DataFrame, min_count: int = 2, bucket_pairs: int = 2_000_000) -> Model:
     """Count, discount and store the model of the texts of ``docs``."""
     spark = docs.sparkSession
+    shipped(spark)
     words = stage(word_counts(docs), "katz-words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     texts = words.where(F.col("w") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     path = scratch_path(spark, "katz-ngrams")
     if not total["n"]:
         nothing = spark.range(0).selectExpr(
-            *(f"cast(id as {t}) {n}" for n, t in [("h", "long"), ("w", "long"), ("c", "long"), ("p", "double"), ("logp", "double"), ("backoff", "double")])
+            *(f"cast(id as {t}) {n}" for n, t in [("h", "long"), ("w", "long"), ("c", "long"), ("logp", "double"), ("weight", "double")])
         )
         for order in (1, 2):
             nothing.write.parquet(f"{path}/order={order}")
         return Model(path, 0, 0, 0.5, 1.0)
     _settle(spark)
     pairs = stage(pair_counts(docs, max(24, -(-total["n"] // bucket_pairs)), min_count), "katz-pairs")
-    _settle(spark)
     of_words = dict(words.where(F.col("c") <= CUT + 1).groupBy("c").count().collect())
     of_pairs = dict(pairs.where(F.col("c") <= CUT + 1).groupBy("c").count().collect())
     of_pairs |= dict(pairs.where("rare_c is not null").groupBy("rare_c").agg(F.sum("rare")).collect())
@@ -237,55 +263,70 @@ def train(docs: DataFrame, min_count: int = 2, bucket_pairs: int = 2_000_000) ->
     none = F.lit(None)
     weights = sums.select(F.col("h").alias("w"), "backoff")
     unigrams = one.join(weights, "w", "left").select(
-        none.cast("long").alias("h"), "w", "c", "p", F.log10("p").alias("logp"), F.coalesce("backoff", F.lit(1.0)).alias("backoff")
+        none.cast("long").alias("h"), "w", "c", F.log10("p").alias("logp"), F.log10(F.coalesce("backoff", F.lit(1.0))).alias("weight")
     )
     unigrams.write.parquet(f"{path}/order=1")
     p = F.col("p") * F.col("shrink")
     gain = F.log10(p) - F.log10("backoff") - F.log10("p1")
-    bigrams = two.join(sums, "h").select("h", "w", "c", p.alias("p"), F.log10(p).alias("logp"), gain.alias("backoff"))
+    bigrams = two.join(sums, "h").select("h", "w", "c", F.log10(p).alias("logp"), gain.alias("weight"))
     bigrams.write.parquet(f"{path}/order=2")
-    _settle(spark)
     start = sums.where(F.col("h") == START).select("backoff").first()
+    unstage(words, pairs, two, sums)
     return Model(path, total["n"], total["v"], unknown, start["backoff"] if start else 1.0)
 
 
+_ROWS = 32_000  # texts of a list are numbered in 16 bits
+
+
 def _postings(docs: DataFrame, buckets: int, passes: int, turn: int) -> DataFrame:
-    """Lists per batch and bucket: n-grams (no history: a unigram), and where they occur."""
+    """Lists per batch and bucket: hashed n-grams, unigrams flagged, and where they occur."""
+
+    def listed(part: pa.RecordBatch) -> pa.RecordBatch:
+        t = tokens(part.column(1))
+        h = np.concatenate((t.history, np.zeros_like(t.history)))
+        w, text = np.tile(t.token, 2), np.tile(t.text, 2)
+        bucket = _bucket(h, w, buckets)
+        mine = np.flatnonzero(bucket % passes == turn)
+        single = mine >= len(t.token)
+        gram, text, bucket = combine(h[mine], w[mine]), text[mine], bucket[mine]
+        order = _order(bucket, gram, text)
+        gram, text, bucket, single = gram[order], text[order], bucket[order], single[order]
+        edge = _starts(bucket, gram, text)
+        times = np.diff(np.append(edge, len(gram)))
+        gram, text, bucket, single = gram[edge], text[edge], bucket[edge], single[edge]
+        first = _starts(bucket, gram)
+        cut = np.append(_starts(bucket), len(bucket))
+        inner = np.searchsorted(first, cut)
+        rows = len(cut) - 1
+        names = pa.array([part.column(0).cast(pa.int64()).to_pylist()] * rows, pa.list_(pa.int64()))
+        marks = part.column(2).to_numpy()
+        columns = [
+            pa.array(bucket[cut[:-1]].astype(np.int32)),
+            _lists(gram[first].view(np.int64), inner, pa.int64()),
+            _lists(single[first], inner, pa.int8()),
+            _lists(np.diff(np.append(first, len(gram))), inner, pa.int32()),
+            _lists(text, cut, pa.int16()),
+            _lists(times, cut, pa.int32()),
+            names,
+            _lists(np.tile(marks, rows), np.arange(rows + 1) * len(marks), pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "gram", "single", "n", "text", "times", "ids", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                t = tokens(part.column(1))
-                h = np.concatenate((t.history, np.zeros_like(t.history)))
-                w, text = np.tile(t.token, 2), np.tile(t.text, 2)
-                bucket = _bucket(h, w, buckets)
-                mine = bucket % passes == turn
-                h, w, text, bucket = h[mine], w[mine], text[mine], bucket[mine]
-                order = np.lexsort((text, combine(h, w), bucket))
-                h, w, text, bucket = h[order], w[order], text[order], bucket[order]
-                edge = _starts(bucket, h, w, text)
-                times = np.diff(np.append(edge, len(h)))
-                h, w, text, bucket = h[edge], w[edge], text[edge], bucket[edge]
-                gram = _starts(bucket, h, w)
-                cut = np.append(_starts(bucket), len(bucket))
-                inner = np.searchsorted(gram, cut)
-                columns = [pa.array(bucket[cut[:-1]].astype(np.int32))]
-                columns += [_lists(x[gram].view(np.int64), inner, pa.int64()) for x in (h, w)]
-                columns.append(_lists(np.diff(np.append(gram, len(h))), inner, pa.int32()))
-                columns += [_lists(x, cut, pa.int32()) for x in (text, times)]
-                rows = len(cut) - 1
-                ids, marks = part.column(0).cast(pa.int64()).to_pylist(), t.marks.view(np.int64)
-                columns += [pa.array([ids] * rows, pa.list_(pa.int64()))]
-                columns += [_lists(np.tile(marks, rows), np.arange(rows + 1) * len(marks), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "h", "w", "n", "text", "times", "ids", "marks"])
+            for part in slices(batch, 1, 4 << 20):
+                for at in range(0, part.num_rows, _ROWS):
+                    yield listed(part.slice(at, _ROWS))
 
-    schema = f"bucket int, h {_LIST}, w {_LIST}, n array<int>, text array<int>, times array<int>, ids {_LIST}, marks {_LIST}"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    lists = f"gram {_LIST}, single array<byte>, n array<int>, text array<short>, times array<int>, ids {_LIST}, marks {_LIST}"
+    mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+    return docs.select("doc_id", "text", mark).mapInArrow(run, f"bucket int, {lists}")
 
 
-def score(docs: DataFrame, model: Model, bucket_rows: int = 4_000_000, passes: int = 3) -> DataFrame:
+def score(docs: DataFrame, model: Model, bucket_rows: int = 4_000_000, passes: int = 2) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``base_score`` and ``score`` of every row."""
     spark = docs.sparkSession
+    shipped(spark)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = passes * max(8, -(-size // (3 * bucket_rows * passes)))
     one = model.ngrams(spark, 1).select(
@@ -294,12 +335,13 @@ def score(docs: DataFrame, model: Model, bucket_rows: int = 4_000_000, passes: i
         "c",
         # The end is no history; it carries the backoff of its text's start.
         F.when(F.col("w") == END, F.col("logp") + math.log10(model.start_backoff))
-        .otherwise(F.col("logp") + F.log10("backoff"))
+        .otherwise(F.col("logp") + F.col("weight"))
         .alias("value"),
     )
-    two = model.ngrams(spark, 2).select("h", "w", "c", F.col("backoff").alias("value"))
+    two = model.ngrams(spark, 2).select("h", "w", F.lit(0).cast("long").alias("c"), F.col("weight").alias("value"))
     table = one.union(two).withColumn("bucket", bucket_of(F.col("h"), F.col("w"), buckets))
     unseen = math.log10(model.unknown)
+    the_end = combine(np.zeros(1, np.uint64), np.array([END]).view(np.uint64))[0]
 
     added = ["ends", "n_tokens", "n_known", "base", "score"]
 
@@ -310,21 +352,22 @@ def score(docs: DataFrame, model: Model, bucket_rows: int = 4_000_000, passes: i
         key, value, count = key[order], flat(known, "value")[order], flat(known, "c")[order]
         out: list[list] = [[] for _ in range(7)]
         for row in range(postings.num_rows):
-            h, w, n, text, times, ids, marks = (
-                postings[k][row].values for k in ("h", "w", "n", "text", "times", "ids", "marks")
+            wanted, single, n, text, times, ids, marks = (
+                postings[k][row].values for k in ("gram", "single", "n", "text", "times", "ids", "marks")
+            )
+            wanted, single, n, text, times, marks = (
+                x.to_numpy(zero_copy_only=False) for x in (wanted, single, n, text, times, marks)
             )
-            h, w, n, text, times, marks = (x.to_numpy(zero_copy_only=False) for x in (h, w, n, text, times, marks))
-            wanted = combine(h.view(np.uint64), w.view(np.uint64))
+            wanted, single = wanted.view(np.uint64), single > 0
             at = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
             found = key[at] == wanted if len(key) else np.zeros(len(wanted), dtype=bool)
-            single = h == 0
-            gain, seen = np.where(single, unseen, 0.0), np.zeros(len(h))
+            gain, seen = np.where(single, unseen, 0.0), np.zeros(len(wanted))
             if found.any():
                 gain[found] = value[at[found]]
                 seen[found] = count[at[found]]
             per = lambda x: np.bincount(text, weights=np.repeat(x, n) * times, minlength=len(marks))
             touched = np.flatnonzero(np.bincount(text, minlength=len(marks)))
-            end = single & (w == END)
+            end = single & (wanted == the_end)
             sums = [per(end), per(single), per(single & (seen > 0)), per(np.where(single, np.log10(seen + 0.5), 0.0)), per(gain)]
             out[0].append(ids.take(pa.array(touched)))
             for k, x in enumerate([marks, *sums], start=1):
@@ -336,14 +379,18 @@ def score(docs: DataFrame, model: Model, bucket_rows: int = 4_000_000, passes: i
 
     parts = "doc_id long, mark long, " + ", ".join(f"{k} double" for k in added)
     sums = [F.sum(k).alias(k) for k in added]
-    result = None
-    for turn in range(passes):
+
+    def scored(turn: int) -> DataFrame:
         left = _postings(docs, buckets, passes, turn).groupBy("bucket")
         right = table.where(F.col("bucket") % passes == turn).groupBy("bucket")
-        summed = left.cogroup(right).applyInArrow(meet, parts).groupBy("doc_id", "mark").agg(*sums)
-        summed = stage(summed, "katz-scores")
+        met = left.cogroup(right).applyInArrow(meet, parts)
+        return stage(met.groupBy("doc_id", "mark").agg(*sums), "katz-scores")
+
+    rounds = []
+    for turn in range(passes):
         _settle(spark)
-        result = summed if result is None else result.union(summed)
+        rounds.append(scored(turn))
+    result = reduce(DataFrame.union, rounds)
     result = result.groupBy("doc_id", "mark").agg(*sums)
     # Rows that repeat an id and text were added up; each has one end.
     each = [(F.col(k) / F.col("ends")).alias(k) for k in ("n_tokens", "n_known", "base", "score")]

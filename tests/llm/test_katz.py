@@ -85,8 +85,11 @@ def test_stored_tables_sum_to_one(spark):
     docs = spark.createDataFrame([(k, f"a b{k % 3} c a b{k % 2}") for k in range(40)], "doc_id long, text string")
     model = katz.train(docs)
     two, one = model.ngrams(spark, 2), model.ngrams(spark, 1)
+    p = lambda df: df.withColumn("p", F.pow(F.lit(10.0), "logp"))
+    one, two = p(one), p(two)
     assert one.agg(F.sum("p")).first()[0] + model.unknown == pytest.approx(1)
-    kept = two.groupBy("h").agg(F.sum("p").alias("used")).join(one.select(F.col("w").alias("h"), "backoff"), "h")
+    back = one.select(F.col("w").alias("h"), F.pow(F.lit(10.0), "weight").alias("backoff"))
+    kept = two.groupBy("h").agg(F.sum("p").alias("used")).join(back, "h")
     lower = two.join(one.select("w", F.col("p").alias("p1")), "w").groupBy("h").agg(F.sum("p1").alias("p1"))
     for r in kept.join(lower, "h").collect():
         assert r.used + r.backoff * (1 - r.p1) == pytest.approx(1)
