@@ -323,12 +323,12 @@ def _postings(docs: DataFrame, buckets: int, passes: int, turn: int) -> DataFram
     return docs.select("doc_id", "text", mark).mapInArrow(run, f"bucket int, {lists}")
 
 
-def score(docs: DataFrame, model: Model, bucket_rows: int = 4_000_000, passes: int = 2) -> DataFrame:
+def score(docs: DataFrame, model: Model, bucket_rows: int = 6_000_000, passes: int = 2) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``base_score`` and ``score`` of every row."""
     spark = docs.sparkSession
     shipped(spark)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = passes * max(8, -(-size // (3 * bucket_rows * passes)))
+    buckets = passes * max(24, -(-size // (3 * bucket_rows * passes)))
     one = model.ngrams(spark, 1).select(
         F.lit(0).cast("long").alias("h"),
         "w",
