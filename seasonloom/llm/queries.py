@@ -101,10 +101,13 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
-    """Log probability of every document under the model of those that are not held out."""
+    """Log probability of every document under the model of those that are not held out.
+
+    The model stores every bigram, those seen once too.
+    """
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
-    model = katz.train(docs.where(~held_out))
+    model = katz.train(docs.where(~held_out), min_count=1)
     return katz.score(docs, model).select(
         "doc_id",
         held_out.alias("held_out"),

@@ -81,6 +81,13 @@ def test_query_equals_the_dictionary_version(spark):
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
+def test_query_stores_bigrams_seen_once(spark):
+    docs = {r.doc_id: r.text for r in queries.table(spark, SF, "documents").collect()}
+    model = Plain([t for i, t in docs.items() if zlib.crc32(str(i).encode()) % 5 != 1], min_count=1)
+    for r in queries.op10_katz_backoff(spark, SF).collect():
+        assert r.score == pytest.approx(model.score(docs[r.doc_id])[3], rel=1e-9)
+
+
 def test_stored_tables_sum_to_one(spark):
     docs = spark.createDataFrame([(k, f"a b{k % 3} c a b{k % 2}") for k in range(40)], "doc_id long, text string")
     model = katz.train(docs)
