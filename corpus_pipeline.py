@@ -32,7 +32,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of every component of near-duplicates."""
+    """One document, the smallest id, of every component of near-duplicates.
+
+    The stage is the op3 operator as it stands: shingles of four words, similarity 0.8.
+    """
     removed = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(removed, "doc_id", "left_anti").select(docs.columns)
 
