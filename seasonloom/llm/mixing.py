@@ -9,7 +9,8 @@ the largest curvature is 1, so the step is 1 and needs no tuning.
 
 A step needs the totals of all documents, one aggregate of as many numbers as domains; the
 rate after any number of steps is a function of p and of the steps' gradients, so nothing
-per document is kept between steps.  Everything is column expressions: no shuffle beyond
+per document is kept for the result.  Steps go on until they converge; only soft posteriors
+of skewed domains take more than ``REPLAY``, and those keep rates on the way.  Everything is column expressions: no shuffle beyond
 the partial sums, and no join but with the labelled sample, which ``sample_rows`` bounds.
 
 Defined cases: a text without words has no tokens, takes the domains' shares of the sample
@@ -29,6 +30,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seasonloom.session import stage, unstage
+
+REPLAY = 60
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -119,11 +123,11 @@ class Rates:
     totals: list[float] = field(default_factory=list)
     converged: bool = False
 
-    def column(self, posterior: str = "posterior") -> Column:
-        """Rate of a document, from its posteriors."""
+    def column(self, posterior: str = "posterior", since: int = 0) -> Column:
+        """Rate of a document, from its posteriors and, after ``since`` steps, its ``rate``."""
         if not self.gradients:
             return F.greatest(F.lit(1.0), F.lit(self.least))
-        flat = [_numbers_row(g) for g in self.gradients]
+        flat = [_numbers_row(g) for g in self.gradients[since:]]
         steps = F.split(F.lit(";".join(flat)), ";")
         steps = F.transform(steps, lambda s: F.split(s, ",").cast("array<double>"))
 
@@ -133,7 +137,7 @@ class Rates:
             )
             return F.greatest(rate - move, F.lit(self.least))
 
-        return F.aggregate(steps, F.lit(1.0), step)
+        return F.aggregate(steps, F.col("rate") if since else F.lit(1.0), step)
 
 
 def _numbers_row(values: Sequence[float]) -> str:
@@ -151,32 +155,44 @@ def fit(
     weights: dict[str, float],
     least: float = 0.0,
     budget: float | None = None,
-    steps: int = 60,
+    steps: int = 20_000,
     tolerance: float = 1e-6,
+    must_converge: bool = True,
 ) -> Rates:
     """Rates for staged rows of ``n_tokens`` and ``posterior`` (in the order of ``weights``).
 
     ``budget`` is the total of expected tokens, by default the tokens there are; with
     ``least`` of 1 it is the smallest total at which no domain has to give up tokens.
-    It ends when no total moves by more than ``tolerance`` of itself; ``converged`` is
-    false if ``steps`` did not suffice.
+    It ends when no total moves by more than ``tolerance`` of itself.  If ``steps`` did not
+    suffice it raises, or is only marked with ``must_converge`` off.  Rates are written every
+    ``REPLAY`` steps, so that a step's cost does not grow with the steps before it.
     """
     share = [w / sum(weights.values()) for w in weights.values()]
     one = _totals(measured, F.lit(1.0), len(share))
     if budget is None:
         budget = sum(one) if least < 1 else max((t / s for t, s in zip(one, share, strict=True) if s), default=0.0)
     result = Rates(least, [s * budget for s in share])
-    at = one
+    at, rows, done = one, measured, 0
     for _ in range(steps):
+        if len(result.gradients) - done == REPLAY:
+            rate = result.column(since=done).alias("rate")
+            before, rows = rows, stage(rows.select("n_tokens", "posterior", rate), "mixing-rates")
+            if done:
+                unstage(before)
+            done = len(result.gradients)
         gradient = [(e - t) / o if o else 0.0 for e, t, o in zip(at, result.targets, one, strict=True)]
         result.gradients.append(gradient)
-        new = _totals(measured, result.column(), len(share))
+        new = _totals(rows, result.column(since=done), len(share))
         moved = max((abs(a - b) / max(abs(b), 1e-9) for a, b in zip(new, at, strict=True)), default=0.0)
         at = new
         if moved <= tolerance:
             result.converged = True
             break
+    if done:
+        unstage(rows)
     result.totals = at
+    if must_converge and not result.converged:
+        raise ValueError(f"mixing rates did not converge in {steps} steps: totals {at}, targets {result.targets}")
     return result
 
 

@@ -37,6 +37,23 @@ def test_rates_meet_targets_and_equal_the_dense_descent(spark, least):
     assert min(found.values()) >= least
 
 
+def test_soft_posteriors_of_skewed_domains_reach_the_targets(spark):
+    rng = np.random.default_rng(3)
+    domain = rng.choice(4, size=400, p=[0.01, 0.01, 0.01, 0.97])
+    p = np.full((400, 4), 0.05)
+    p[np.arange(400), domain] = 0.85
+    rows = [(k, int(a), b.tolist()) for k, (a, b) in enumerate(zip(rng.integers(50, 500, size=400), p, strict=True))]
+    measured = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>").coalesce(1)
+    rates = mixing.fit(measured, {"a": 2, "b": 1, "c": 1, "d": 1})
+    assert rates.converged and len(rates.gradients) > 60
+    assert np.allclose(rates.totals, rates.targets, rtol=1e-3)
+    total = sum(r.n_tokens * r.rate * np.array(r.posterior) for r in measured.select("*", rates.column().alias("rate")).collect())
+    assert np.allclose(total, rates.targets, rtol=1e-3)
+    with pytest.raises(ValueError, match="did not converge"):
+        mixing.fit(measured, {"a": 2, "b": 1, "c": 1, "d": 1}, steps=3)
+    assert not mixing.fit(measured, {"a": 2, "b": 1, "c": 1, "d": 1}, steps=3, must_converge=False).converged
+
+
 def test_query_reaches_the_language_weights(spark):
     rows = queries.op9_soft_mixing(spark, SF).collect()
     lang = {r.doc_id: r.lang for r in queries.table(spark, SF, "documents").collect()}
