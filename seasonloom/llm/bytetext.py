@@ -73,9 +73,12 @@ def joined(column: pa.ChunkedArray | pa.Array, separator: int = 0x0A) -> tuple[n
     return out, bounds
 
 
-def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a byte array that ends in a separator (or is empty)."""
-    out = SEPARATORS[data]
+def spans(data: np.ndarray, outside: np.ndarray = SEPARATORS) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a byte array that ends in a separator (or is empty).
+
+    ``outside`` marks the bytes that separate words.
+    """
+    out = outside[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], out)).astype(np.int8)))
     return edge[0::2], edge[1::2]
 

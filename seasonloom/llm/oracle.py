@@ -52,6 +52,41 @@ SELECT policy, rule, count(*)::bigint AS n_docs,
   count(*) FILTER (fail_bits & all_bits = bit)::bigint AS n_only
 FROM ledger, p GROUP BY 1, 2"""
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SHARE = "1 + (1000000000::hugeint * ({n} + 1)) // greatest({total} + v, 1)"
+
+SOURCE_DIVERGENCE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY 1),
+g AS (
+  SELECT lang, source, coalesce(max(v), 0) AS v, coalesce(max(lang_total), 0) AS lang_total, coalesce(sum(n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN l USING (lang) LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, {_SHARE.format(n="coalesce(n, 0)", total="total")} AS p,
+    {_SHARE.format(n="lang_n", total="lang_total")} AS q
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(sum((a.p - b.p) * (a.p - b.p) // b.p), 0)::bigint AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN p a ON a.lang = g.lang AND a.source = g.source
+  LEFT JOIN p b ON b.lang = h.lang AND b.source = h.source AND b.term = a.term
+  WHERE a.term IS NULL OR b.term IS NOT NULL GROUP BY 1, 2, 4),
+term AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::bigint AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::int AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+      FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+WHERE part = 'pair' OR rank <= 200"""
+
 
 def statements() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_RULES, "rule_ablations": RULE_ABLATIONS}
+    return {
+        "op2_quality_rules": QUALITY_RULES,
+        "rule_ablations": RULE_ABLATIONS,
+        "op13_source_divergence": SOURCE_DIVERGENCE,
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import collide, katz, linecrf, mixing, neardup, pagetext, pieces, rules, shards, warc
+from seasonloom.llm import collide, divergence, katz, linecrf, mixing, neardup, pagetext, pieces, rules, shards, warc
 from seasonloom.session import scratch_path, stage
 
 RULE_POLICY = "v2"
@@ -135,6 +135,11 @@ def op9_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return measured.select("doc_id", "n_tokens", *share, rates.column().alias("rate"))
 
 
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How the sources of each language differ, by pairs and by their most unusual terms."""
+    return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op3_hyperminhash, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op7_page_text, op8_warc, op9_soft_mixing, op10_katz_backoff]
+    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op3_hyperminhash, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op7_page_text, op8_warc, op9_soft_mixing, op10_katz_backoff, op13_source_divergence]
     return {f.__name__: f for f in named}
