@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import collide, divergence, katz, linecrf, mixing, neardup, pagetext, pieces, rules, shards, warc
+from seasonloom.llm import alignment, collide, divergence, katz, linecrf, mixing, neardup, pagetext, pieces, rules, shards, warc
 from seasonloom.session import scratch_path, stage
 
 RULE_POLICY = "v2"
@@ -15,16 +15,21 @@ N_SHARDS = 40
 LANGUAGE_WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 QUALITY_THRESHOLD = 0.3
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def piece_model() -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(PIECE_MODEL)
+    return public_tokenizers.path(name)
+
+
+def piece_model() -> str:
+    return tokenizer(PIECE_MODEL)
 
 
 def op1_collision_counting(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,11 +140,17 @@ def op9_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return measured.select("doc_id", "n_tokens", *share, rates.column().alias("rate"))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens over every text, with corpus-wide counts."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer(BYTE_MODEL), piece_model())
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """How the sources of each language differ, by pairs and by their most unusual terms."""
     return divergence.audit(table(spark, folder, "documents").select("lang", "source", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op3_hyperminhash, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op7_page_text, op8_warc, op9_soft_mixing, op10_katz_backoff, op13_source_divergence]
+    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op3_hyperminhash, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op7_page_text, op8_warc, op9_soft_mixing, op10_katz_backoff, op12_token_alignment, op13_source_divergence]
     return {f.__name__: f for f in named}
