@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import alignment, collide, divergence, katz, linecrf, mixing, neardup, pagetext, pieces, rules, shards, warc
+from seasonloom.llm import alignment, collide, divergence, katz, langgru, linecrf, mixing, neardup, pagetext, pieces, rules, shards, warc
 from seasonloom.session import scratch_path, stage
 
 RULE_POLICY = "v2"
@@ -140,6 +140,13 @@ def op9_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return measured.select("doc_id", "n_tokens", *share, rates.column().alias("rate"))
 
 
+def op11_byte_gru(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    model = langgru.train(docs.where(~langgru.held_out()))
+    return langgru.predict(docs.select("doc_id", langgru.held_out().alias("held_out"), "text"), model)
+
+
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Groups and links of two tokenizers' tokens over every text, with corpus-wide counts."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -152,5 +159,5 @@ def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op3_hyperminhash, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op7_page_text, op8_warc, op9_soft_mixing, op10_katz_backoff, op12_token_alignment, op13_source_divergence]
+    named = [op1_collision_counting, op2_quality_rules, rule_ablations, op3_hyperminhash, op4_external_shuffle, op5_sentencepiece, op6_line_crf, op7_page_text, op8_warc, op9_soft_mixing, op10_katz_backoff, op11_byte_gru, op12_token_alignment, op13_source_divergence]
     return {f.__name__: f for f in named}
