@@ -52,6 +52,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/seasonloom/{label}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_once(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet and let Spark delete the write's shuffle files when it is done.
+
+    Without that they stay until the driver happens to collect garbage, so a chain of staged
+    steps would hold the shuffles of all of them on disk.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -60,7 +78,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     ``unstage`` removes the files once nothing reads the frame any more.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    write_once(df, path)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged.staged_at = path
     return staged
