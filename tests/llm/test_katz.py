@@ -22,7 +22,7 @@ def split(text):
 class Plain:
     """The same model with dictionaries, evaluated by the recursion itself."""
 
-    def __init__(self, texts, min_count=2):
+    def __init__(self, texts, min_count=1):
         one, two = collections.Counter(), collections.Counter()
         for t in map(split, texts):
             one.update(t)
