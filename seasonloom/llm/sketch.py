@@ -28,7 +28,7 @@ def shingles(texts: pa.Array, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
     n = np.bincount(text_of, minlength=len(bounds) - 1)
     first = np.cumsum(n) - n
     rolled = word.copy()
-    for k in range(1, width):
+    for k in range(1, min(width, len(word))):
         rolled[: len(word) - k] = combine(rolled[: len(word) - k], word[k:])
     at = np.arange(len(word)) - first[text_of]
     full = at + width <= n[text_of]

@@ -113,3 +113,21 @@ def test_shingles_of_short_and_repeated_texts():
     values, bounds = sketch.shingles(pa.array(["a b c d a b c d", "a b", None, "A  B", "a b c d"]))
     assert np.diff(bounds).tolist() == [4, 1, 0, 1, 1]
     assert values[bounds[1]] == values[bounds[3]] and values[bounds[4]] in values[: bounds[1]]
+
+
+def test_slices_with_any_number_of_words():
+    import pyarrow as pa
+
+    from seasonloom.llm.sketch import shingles
+
+    for width in (1, 2, 4, 5, 6):
+        for n in range(10):
+            for texts in ([" ".join("abcdefghij"[:n])], ["a b c d e f g", " ".join("abcdefghij"[:n])]):
+                values, bounds = shingles(pa.array(texts), width)
+                assert bounds[-1] - bounds[-2] == (max(n - width + 1, 1) if n else 0) and len(values) == bounds[-1]
+
+
+def test_a_table_of_one_short_text(spark):
+    for text in ("hello world", "hello", "a b c"):
+        rows = neardup.near_duplicates(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows] == [(1, 1, 1, True)]
