@@ -56,7 +56,7 @@ class Settings:
     cells: int = 1 << 18
     slice_bytes: int = 4 << 20
     # Spellings that a task remembers having sent.
-    remembered: int = 1 << 20
+    remembered: int = 1 << 19
 
 
 @dataclass
@@ -217,8 +217,9 @@ def _counted(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame,
         tallies = tallies.join(shared, "digest", "left_anti").select(split.columns).union(split)
         kept = stage(_kept(tallies, settings.least), "divergence-kept")
         words = words.union(variants)
-    counts = tallies.groupBy(*_GROUP, *_TERM).agg(F.sum("n").alias("n")).join(kept, ["lang", *_TERM])
-    counts = stage(counts, "divergence-counts")
+    # Joined first: rare terms never reach the grouping, and one shuffle by term serves both.
+    counted = tallies.join(kept, ["lang", *_TERM]).groupBy(*_GROUP, *_TERM)
+    counts = stage(counted.agg(F.sum("n").alias("n"), F.max("lang_n").alias("lang_n")), "divergence-counts")
     unstage(slices_)
     return counts, kept, words
 
