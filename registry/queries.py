@@ -448,3 +448,53 @@ def velo_fitted(v: DriverViews) -> DataFrame:
     model_data = _model_data(v)
     effects = velocity.game_effects(velocity.velo_decay(model_data), v.player(), v.game())
     return velocity.fitted_pitches(model_data, effects)
+
+
+# Covariances of the pitcher's and the game's lines, relative to the residual variance.
+GIVEN_OUTER = ((0.5, -0.01), (-0.01, 0.002))
+GIVEN_INNER = ((0.3, 0.005), (0.005, 0.001))
+
+
+def _given(v: DriverViews, model_data: DataFrame | None = None):
+    return velocity.velo_decay_at(model_data or _model_data(v), GIVEN_OUTER, GIVEN_INNER)
+
+
+@_query
+def velo_given_summary(v: DriverViews) -> DataFrame:
+    return _significant(_given(v).summary())
+
+
+@_query
+def velo_given_pitcher(v: DriverViews) -> DataFrame:
+    return _significant(velocity.pitcher_effects(_given(v), v.player()))
+
+
+@_query
+def velo_given_game(v: DriverViews) -> DataFrame:
+    return _significant(velocity.game_effects(_given(v), v.player(), v.game()))
+
+
+def _given_fitted(v: DriverViews, pitcher_id: int | None = None) -> DataFrame:
+    model_data = stage(_model_data(v), "model-data")
+    effects = velocity.game_effects(_given(v, model_data), v.player(), v.game())
+    return _significant(velocity.fitted_pitches(model_data, effects, pitcher_id))
+
+
+@_query
+def velo_given_fitted(v: DriverViews) -> DataFrame:
+    return _given_fitted(v)
+
+
+@_query
+def velo_given_fitted_pitcher(v: DriverViews) -> DataFrame:
+    """One pitcher's observed and fitted speeds."""
+    return _given_fitted(v, 7)
+
+
+@_query
+def velo_decay_gradient(v: DriverViews) -> DataFrame:
+    """The criterion's derivative where the search ended: zero to a millionth of the criterion."""
+    fit = velocity.velo_decay(_model_data(v))
+    names = [f"{level}_{k}" for level in ("outer", "inner") for k in ("11", "21", "22")]
+    rows = [(n, abs(round(float(d) / (1 + abs(fit.criterion)), 6))) for n, d in zip(names, fit.slope, strict=True)]
+    return v.spark.createDataFrame(rows, "factor string, slope double")

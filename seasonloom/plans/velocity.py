@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seasonloom.operators.joins import inner_join, left_join
-from seasonloom.operators.trends import MixedFit, fit_nested_lines, ols_by_group
+from seasonloom.operators.trends import MixedFit, fit_nested_lines, lines_at, ols_by_group
 
 SPEED, NUMBER = "release_speed_mph", "pitch_number"
 
@@ -20,6 +20,11 @@ def velo_decay(model_data: DataFrame, reml: bool = True) -> MixedFit:
     return fit_nested_lines(model_data, SPEED, NUMBER, "pitcher_id", "game_id", reml)
 
 
+def velo_decay_at(model_data: DataFrame, outer_cov, inner_cov, reml: bool = True) -> MixedFit:
+    """The same model at given covariances, relative to the residual variance."""
+    return lines_at(model_data, SPEED, NUMBER, "pitcher_id", "game_id", outer_cov, inner_cov, reml)
+
+
 def pitcher_effects(fit: MixedFit, player: DataFrame) -> DataFrame:
     effects = fit.outer_effects().withColumnRenamed("pitcher_id", "player_id")
     named = left_join(effects, player.select("player_id", "name_full"), ["player_id"])

@@ -180,15 +180,25 @@ class DriverViews:
         )
 
     def pitch(self) -> DataFrame:
+        """Events as pitches; speeds carry a pitcher's and a game's own level and trend.
+
+        The factors are binary fractions, so that every engine adds the same numbers.
+        """
+        game = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint")
+        hour = F.hour("ts")
+        pitcher_level = ((F.col("user_id") * 37) % 11 - 5) * F.lit(0.5)
+        game_level = ((game * 5 + F.col("user_id") * 3) % 7 - 3) * F.lit(0.25)
+        pitcher_trend = hour * ((F.col("user_id") * 13) % 5 - 2) * F.lit(0.03125)
+        game_trend = hour * ((game * 3 + F.col("user_id")) % 3 - 1) * F.lit(0.015625)
         return self.table("events").select(
-            F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-            .cast("bigint")
-            .alias("game_id"),
-            (F.col("user_id") * 100 + F.hour("ts")).alias("event_index"),
+            game.alias("game_id"),
+            (F.col("user_id") * 100 + hour).alias("event_index"),
             F.col("event_id").alias("play_index"),
             F.col("event_id").cast("string").alias("play_id"),
             _recode("event_type", PITCH_TYPE).alias("pitch_type"),
-            (130 + F.col("value") / 50).alias("release_speed"),
+            (130 + F.col("value") / 50 + pitcher_level + game_level + pitcher_trend + game_trend).alias(
+                "release_speed"
+            ),
             F.col("user_id").alias("pitcher_id"),
         )
 

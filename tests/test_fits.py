@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seasonloom.operators import survival
+from seasonloom.operators import survival, trends
 from seasonloom.operators.survival import cox_curve, cox_fit, kaplan_meier
 from seasonloom.operators.trends import fit_nested_lines, ols_by_group
 
@@ -245,6 +245,57 @@ def test_mixed_model_matches_dense(nested, reml):
         assert inner[key] == pytest.approx(tuple(value), abs=1e-6)
 
 
+def test_search_takes_few_jobs_and_ends_on_a_flat_gradient(nested, monkeypatch):
+    frame, rows = nested
+    jobs = []
+    explore = trends._NestedSums.explore
+    monkeypatch.setattr(trends._NestedSums, "explore", lambda *a: jobs.append(1) or explore(*a))
+    fit = fit_nested_lines(frame, "speed", "number", "pitcher", "game")
+    # The sums are staged and centred in three more.
+    assert len(jobs) <= 12
+    assert fit.criterion == pytest.approx(_Dense(rows).criterion(fit.outer_cov, fit.inner_cov, fit.sigma, True), rel=1e-9)
+    assert np.linalg.norm(fit.slope) <= 1e-6 * (1 + abs(fit.criterion))
+
+
+@pytest.mark.parametrize("reml", [True, False])
+def test_points_of_a_search_agree_with_one_at_a_time(nested, reml):
+    frame, _ = nested
+    sums = trends._NestedSums(frame, "speed", "number", "pitcher", "game")
+    points = [np.array([0.9, -0.1, 0.3, 0.6, 0.1, 0.25]), np.zeros(6), np.array([1.0, 0.4, 0.0, 0.2, 0.0, 0.5])]
+    for params, found in zip(points, sums.explore(points, reml), strict=True):
+        state = sums.evaluate(params, reml)
+        assert found.value == pytest.approx(state["criterion"], rel=1e-12)
+        assert found.beta == pytest.approx(state["beta"]) and found.variance == pytest.approx(state["variance"])
+        one = sums.gradient(params, state, reml, sums.outer_table(*trends._covariances(params)))
+        assert found.slope == pytest.approx(one, rel=1e-8, abs=1e-8)
+
+
+@pytest.mark.parametrize("reml", [True, False])
+@pytest.mark.parametrize("outer, inner", [
+    ([[1.5, -0.03], [-0.03, 0.004]], [[0.5, 0.01], [0.01, 0.003]]),
+    ([[0.0, 0.0], [0.0, 0.0]], [[1.0, 0.1], [0.1, 0.01]]),
+])
+def test_lines_at_given_covariances_match_dense(nested, outer, inner, reml):
+    frame, rows = nested
+    fit = trends.lines_at(frame, "speed", "number", "pitcher", "game", outer, inner, reml)
+    dense = _Dense(rows)
+    outer, inner = (np.array(c) * fit.sigma**2 for c in (outer, inner))
+    assert fit.outer_cov == pytest.approx(outer) and fit.inner_cov == pytest.approx(inner)
+    _, _, beta, _ = dense.solve(outer, inner, fit.sigma)
+    assert fit.fixed == pytest.approx(beta, rel=1e-9)
+    best = dense.criterion(outer, inner, fit.sigma, reml)
+    assert fit.criterion == pytest.approx(best, rel=1e-9)
+    for factor in (0.999, 1.001):  # the residual variance is the best one at these relative covariances
+        assert dense.criterion(outer * factor, inner * factor, fit.sigma * factor**0.5, reml) > best
+    b, c = dense.effects(outer, inner, fit.sigma)
+    assert {r.pitcher: (r.intercept, r.slope) for r in fit.outer_effects().collect()} == {
+        k: pytest.approx(tuple(v), abs=1e-8) for k, v in b.items()
+    }
+    assert {(r.pitcher, r.game): (r.intercept, r.slope) for r in fit.inner_effects().collect()} == {
+        k: pytest.approx(tuple(v), abs=1e-8) for k, v in c.items()
+    }
+
+
 def test_mixed_model_gradient(nested):
     frame, _ = nested
     sums = fit_nested_lines(frame, "speed", "number", "pitcher", "game", max_iterations=1, must_converge=False).sums
