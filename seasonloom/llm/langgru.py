@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from seasonloom.llm.bytetext import LOWER, joined, slices
 from seasonloom.llm.shipping import shipped
+from seasonloom.session import stage, unstage
 
 UNDETERMINED = "und"
 _PAD = 0x0A
@@ -263,7 +264,8 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     rows = rows.withColumn("mark", F.xxhash64("text"))
     first = Window.partitionBy("lang").orderBy("mark")
     chosen = rows.select("lang", "mark").distinct().withColumn("place", F.row_number().over(first))
-    chosen = chosen.where(F.col("place") <= settings.sample_texts).drop("place")
+    # Written out, so that the join knows its size and need not move the texts.
+    chosen = stage(chosen.where(F.col("place") <= settings.sample_texts).drop("place"), "langgru-sample")
     width, most = settings.width, settings.sample_windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +281,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     picked = rows.join(chosen, ["lang", "mark"]).select("lang", "mark", "text")
     found = picked.mapInArrow(run, "lang string, mark long, windows binary").groupBy("lang", "mark").agg(F.min("windows").alias("windows"))
     found = sorted(found.collect(), key=lambda r: (r.lang.encode(), r.mark))
+    unstage(chosen)
     languages = list(dict.fromkeys(r.lang for r in found))
     data = np.frombuffer(b"".join(bytes(r.windows) for r in found), dtype=np.uint8).reshape(-1, width)
     count = np.array([len(r.windows) // width for r in found], dtype=np.int64)
