@@ -8,6 +8,8 @@ text; nothing loops over characters or words in Python.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -114,10 +116,13 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1
     return combine(np.concatenate(sums), lengths.astype(np.uint64))
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20):
-    """Consecutive parts of a batch whose texts hold about ``limit`` bytes (one row at least)."""
+def slices(batch: pa.RecordBatch, column: int | pa.Array, limit: int = 1 << 20):
+    """Consecutive parts of a batch whose texts hold about ``limit`` bytes (one row at least).
+
+    The texts are a column of the batch, or an array as long as it.
+    """
     lengths = np.zeros(batch.num_rows, dtype=np.int64)
-    texts = batch.column(column).cast(pa.large_binary())
+    texts = (batch.column(column) if isinstance(column, int) else column).cast(pa.large_binary())
     if batch.num_rows:
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         lengths = np.diff(offsets)
@@ -128,6 +133,19 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20):
             yield batch.slice(int(a), int(b - a))
 
 
+def released(batches):
+    """The same batches; memory that one has freed is given back before the next.
+
+    Python workers live on from stage to stage, so what an allocator keeps adds up.
+    """
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of all runs ``starts[i] .. starts[i] + lengths[i]``, one after another."""
     first = np.cumsum(lengths) - lengths

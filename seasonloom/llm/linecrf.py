@@ -8,7 +8,8 @@ document's score is the mean of these, weighted by line length in bytes.
 The model is fitted by gradient ascent on the likelihood of lines that carry their
 document's label, on at most ``sample_rows`` labelled documents (those first by a hash of
 their id; chains are cut to ``chain`` lines for fitting only).  Executors measure the
-sample; the driver receives the measures of its lines and never a text.
+sample; the driver receives the measures of its lines and never a text: of a labelled id one
+text, the first by hash, and at most ``sample_lines`` lines, spread evenly over it.
 
 Defined cases: a text without words, null or empty, scores 0; repeated rows repeat their
 score; rows without a label, or with a null one, are not learned from; a document labelled
@@ -24,11 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seasonloom.llm.bytetext import LOWER, SEPARATORS, combine, hashes, joined, slices, spans
+from seasonloom.llm.bytetext import LOWER, SEPARATORS, combine, hashes, joined, released, slices, spans
 from seasonloom.llm.shipping import shipped
 
 _NEWLINE = 0x0A
@@ -238,7 +240,9 @@ def held_out(column: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, chain: int = 32) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, chain: int = 32, sample_lines: int = 512
+) -> Model:
     """Model of at most ``sample_rows`` labelled documents that are not held out."""
     shipped(docs.sparkSession)
     known = (
@@ -255,32 +259,40 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, chain: in
         for batch in batches:
             for part in slices(batch, 1):
                 lines = measure(part.column(1))
-                rows = [
-                    lines.measures[a:b].tobytes() for a, b in zip(lines.bounds[:-1], lines.bounds[1:], strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(rows, pa.binary())], ["doc_id", "label", "measures"]
-                )
-
-    measured = texts.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(
-        run, "doc_id long, label int, measures binary"
-    )
-    rows = sorted(measured.collect(), key=lambda r: (r.doc_id, bytes(r.measures)))
+                rows = []
+                for a, b in zip(lines.bounds[:-1].tolist(), lines.bounds[1:].tolist(), strict=True):
+                    at = np.arange(a, b) if b - a <= sample_lines else np.linspace(a, b - 1, sample_lines).astype(int)
+                    rows.append(lines.measures[at].tobytes())
+                columns = [part.column(0), part.column(2), part.column(3), pa.array(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "mark", "measures"])
+
+    chosen = texts.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int"), F.xxhash64("text"))
+    measured = chosen.mapInArrow(run, "doc_id long, label int, mark long, measures binary")
+    # One text of each id, however many rows carry it.
+    first = measured.groupBy("doc_id", "label").agg(F.min(F.struct("mark", "measures")).alias("m"))
+    rows = sorted(first.select("doc_id", "label", "m.measures").collect(), key=lambda r: r.doc_id)
     shape = (-1, len(MEASURES))
     return fit([(int(r.label > 0), np.frombuffer(r.measures, np.float32).reshape(shape)) for r in rows], chain)
 
 
+def _field(batch: pa.RecordBatch, path: list[str]) -> pa.Array:
+    column = batch.column(batch.schema.get_field_index(path[0]))
+    for name in path[1:]:
+        column = pc.struct_field(column, name)
+    return column
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``; one pass, no shuffle."""
+    """``docs`` with ``score``; one pass, no shuffle.  The text may be a field of a struct (``row.text``)."""
     shipped(docs.sparkSession)
     kept = docs.drop("score")
     schema = T.StructType([*kept.schema, T.StructField("score", T.DoubleType(), False)])
-    at = kept.columns.index(text)
+    path = [text] if text in kept.columns else text.split(".")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, at):
-                values = pa.array(model.scores(part.column(at)))
+        for batch in released(batches):
+            for part in slices(batch, _field(batch, path)):
+                values = pa.array(model.scores(_field(part, path)))
                 yield pa.RecordBatch.from_arrays([*part.columns, values], schema.fieldNames())
 
     return kept.mapInArrow(run, schema)

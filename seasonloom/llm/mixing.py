@@ -196,8 +196,15 @@ def fit(
     return result
 
 
-def replicated(rated: DataFrame, seed: int = 29, key: str = "doc_id") -> DataFrame:
-    """Each row as often as its ``rate``: the whole part, and once more with the rest as odds."""
-    draw = (F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+def replicated(rated: DataFrame, seed: int = 29, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each row as often as its ``rate``: the whole part, and once more with the rest as odds.
+
+    Every row draws for itself: by its key and text, and, where rows share both, by a number
+    that tells them apart within their partition.
+    """
+    known = [F.col(f"`{c}`") for c in (key, text) if c in rated.columns]
+    row = F.struct(F.monotonically_increasing_id().alias("at"), *known)
+    draw = (F.pmod(F.xxhash64(F.lit(seed), row), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
-    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), copies))).drop("_copy", "rate")
+    kept = [F.col(f"`{c}`") for c in rated.columns if c != "rate"]
+    return rated.select(F.struct(*kept).alias("row"), F.explode(F.array_repeat(F.lit(True), copies))).select("row.*")

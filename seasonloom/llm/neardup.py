@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seasonloom.llm.bytetext import slices
+from seasonloom.llm.bytetext import released, slices
 from seasonloom.llm.sketch import Layout, estimate, registers, shingles
 from seasonloom.llm.shipping import shipped
 from seasonloom.session import stage
@@ -65,7 +65,7 @@ def _set_hashes(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 def signatures(docs: DataFrame, settings: Settings, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, 1):
                 values, bounds = shingles(part.column(1), settings.width)
                 rows = registers(values, bounds, settings.layout)
@@ -85,7 +85,7 @@ def sets(docs: DataFrame, settings: Settings, text: str = "text") -> DataFrame:
     """``doc_id`` and its shingle hashes, ascending as unsigned numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, 1):
                 values, bounds = shingles(part.column(1), settings.width)
                 lists = pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(values.view(np.int64)))

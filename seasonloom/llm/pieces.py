@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seasonloom.llm.bytetext import hashes, joined, ragged, slices
+from seasonloom.llm.bytetext import hashes, joined, ragged, released, slices
 from seasonloom.llm.shipping import shipped
 
 SPACE = "▁".encode()
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", step_bytes: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(model_file)
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, len(passed), step_bytes):
                 ids, begins, ends, bounds = tool.batch(part.column(len(passed)))
                 flat, edges = ids.tolist(), bounds.tolist()

@@ -12,13 +12,18 @@ import seasonloom
 
 _SENT: set[str] = set()
 
+# Bytes of an Arrow batch at most (a single row may be larger): several are under way in a
+# task at a time, on both sides of the pipe.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
 
 def shipped(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application.
+    """Send the package to the executors, once per application, and bound Arrow batches in bytes.
 
     Tasks unpickle functions by name.  Where the package is installed on every node this
     changes nothing; elsewhere the executors fetch it from the driver.
     """
+    spark.conf.set(*_BATCH)
     application = spark.sparkContext.applicationId
     if application in _SENT:
         return
