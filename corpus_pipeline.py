@@ -21,8 +21,8 @@ from seasonloom.session import stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field scores at the threshold or above."""
     model = linecrf.train(docs, queries.table(spark, sf_dir, "labels"))
-    scored = linecrf.score(docs.withColumn("_row", F.struct(*docs.columns)), model)
-    return scored.where(F.col("score") >= queries.QUALITY_THRESHOLD).select("_row.*")
+    scored = linecrf.score(docs.select(F.struct("*").alias("row")), model, "row.text")
+    return scored.where(F.col("score") >= queries.QUALITY_THRESHOLD).select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +48,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labelled = queries.language_labels(spark, sf_dir, docs)
     model = mixing.classifier(docs, labelled, list(queries.LANGUAGE_WEIGHTS))
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    measured = stage(model.measured(docs.select("text")).select("n_tokens", "posterior"), "pipeline-posteriors")
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    # Measured once, beside the rows; the fit reads the two columns it needs.
+    measured = stage(model.measured(rows).select("row", "n_tokens", "posterior"), "pipeline-posteriors")
     rates = mixing.fit(measured, queries.LANGUAGE_WEIGHTS, least=1.0)
-    rated = model.measured(rows).withColumn("rate", rates.column())
-    return mixing.replicated(rated).select("_row.*")
+    rated = measured.select("row", rates.column().alias("rate"))
+    return mixing.replicated(rated, key="row").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
