@@ -467,6 +467,16 @@ def _km(stratum: str) -> str:
 
 
 _STATEMENTS = {
+    "scan_csv_untyped": """
+        select cast(o_orderkey as integer) as whole,
+          case when o_orderkey % 7 <> 0 then cast(o_orderkey as bigint) * 10000000000 end as long,
+          o_totalprice / 8 as fraction,
+          case when o_orderkey % 2 = 0 then o_orderkey::double else o_orderkey + 0.5::double end as mixed_number,
+          case when o_orderkey % 5 <> 0 then cast(o_orderdate as date) end as date,
+          case when o_orderkey % 2 = 0 then cast(cast(o_orderdate as date) as varchar)
+            else cast(o_orderkey as varchar) end as date_or_number,
+          case when o_orderkey % 3 <> 0 then o_orderpriority end as text, cast(null as varchar) as nothing
+        from orders""",
     "scan_csv": """select pitcher, year, pitches as "TotalPitches", fb_velo as "PrimaryFB_Velo"
         from tracked where flag = 'A'""",
     "scan_partitioned_dir": "select * from season_by_file",

@@ -55,6 +55,14 @@ def scan_csv(v: DriverViews) -> DataFrame:
     return tables.read_csv(v.spark, path, schemas.MAJORS_HAWKEYE)
 
 
+@_query
+def scan_csv_untyped(v: DriverViews) -> DataFrame:
+    """A file of which no column is declared: whole numbers, fractions, dates, text and mixtures."""
+    path = scratch_path(v.spark, "untyped")
+    tables.write_csv(v.untyped(), path)
+    return tables.read_csv(v.spark, path, "", infer_extra=True)
+
+
 @_query
 def scan_partitioned_dir(v: DriverViews) -> DataFrame:
     seasons = stage(v.season_by_file(), "season-files")
@@ -340,13 +348,9 @@ def _pitches(v: DriverViews) -> DataFrame:
     return pitches.enrich_pitches(v.pitch(), v.event(), v.game(), v.biomechanics())
 
 
-def _staged_pitches(v: DriverViews) -> DataFrame:
-    """Enriched pitches written once: the model data read them three times."""
-    return stage(_pitches(v), "pitches")
-
-
 def _model_data(v: DriverViews) -> DataFrame:
-    return pitches.pitch_model_data(_staged_pitches(v), STARTER_PITCHES)
+    joined = pitches.staged_pitches(v.pitch(), v.event(), v.game(), v.biomechanics())
+    return pitches.pitch_model_data(pitches.number_pitches(joined), STARTER_PITCHES, joined)
 
 
 @_query
@@ -364,10 +368,9 @@ def pitch_enriched(v: DriverViews) -> DataFrame:
 
 @_query
 def pitch_enriched_csv(v: DriverViews) -> DataFrame:
-    """Enrichment from files; the extra columns arrive as text and are cast back."""
+    """Enrichment from files; the undeclared columns' types come from their values."""
     paths = _written(v, pitch=v.pitch(), event=v.event(), game=v.game(), biomechanics=v.biomechanics())
-    enriched = pitches.read_enriched_pitches(v.spark, *paths)
-    return enriched.withColumns({"inning": F.col("inning").cast("int"), "metric": F.col("metric").cast("int")})
+    return pitches.read_enriched_pitches(v.spark, *paths)
 
 
 @_query

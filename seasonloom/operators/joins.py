@@ -70,12 +70,14 @@ def full_join(
     """Full outer join that stays parallel when one key holds very many rows.
 
     Adaptive execution never splits a skewed partition of a full outer join, so
-    the rows come from joins it can split: the matched rows, plus each side's
-    rows without a partner, found against the other side's distinct keys.  The
-    plan is the same for every size and runs nothing before its result is asked for.
-
-    ``left_unique`` says the left side holds each key once: then one left join
-    from the right side gives all but the left rows without a partner.
+    the rows come from two joins it can split, and each side is read twice: a
+    left join gives the matched rows and the left rows without a partner, and an
+    anti join against the left side's distinct keys gives the other rows of the
+    right.  A key that the left side repeats is split there.  The plan is the
+    same for every size and runs nothing before its result is asked for.
+
+    ``left_unique`` says the left side holds each key once: then the left join
+    runs from the right side, so that a key the right side repeats is split.
     """
     left, right, pairs = _prepare(left, right, on, suffixes)
     condition = _condition(pairs)
@@ -85,16 +87,14 @@ def full_join(
     rest += [c for c in right.columns if c not in right_keys]
 
     as_left = [F.col(_RIGHT + b).alias(a) for a, b in pairs]
-    left_only = left.join(right.select(*right_keys).distinct(), condition, "left_anti")
     if left_unique:
+        left_only = left.join(right.select(*right_keys).distinct(), condition, "left_anti")
         from_right = right.join(left, condition, "left").select(*as_left, *rest)
         return from_right.unionByName(left_only, allowMissingColumns=True)
-    matched = left.join(right, condition, "inner").select(*left_keys, *rest)
+    from_left = left.join(right, condition, "left").select(*left_keys, *rest)
     right_only = right.join(left.select(*left_keys).distinct(), condition, "left_anti")
     right_only = right_only.select(*as_left, *(c for c in right_only.columns if c not in right_keys))
-    return matched.unionByName(left_only, allowMissingColumns=True).unionByName(
-        right_only, allowMissingColumns=True
-    )
+    return from_left.unionByName(right_only, allowMissingColumns=True)
 
 
 def prior_year(df: DataFrame, key: str, columns: dict[str, str], year: str = "year") -> DataFrame:

@@ -48,16 +48,60 @@ def _index_in_window(df: DataFrame, keys, order, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(within).cast("bigint"))
 
 
-def fill_down(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str) -> DataFrame:
+def fill_down(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, bits: int = CHUNK_BITS
+) -> DataFrame:
     """Carry the last present value forward within each group, missing order last.
 
-    For frames with one row per (keys, order), so a group is as long as the
-    order column has values: at most one row per season for a player.  Rows
-    that share an order value follow each other in any order.
+    A missing value takes the last one present at a smaller position; failing
+    that, or before it, one present at its own position, of several the largest.
+    ``order`` is one column of whole numbers.
+
+    Groups may be of any size, and any number of rows may share a position.  Rows
+    are first reduced to one value per position, map-side.  Positions are scanned
+    in chunks of 2^bits, as in ``running_totals``, with "the last one present" in
+    place of a sum: inside a chunk, and over the last values of the chunks before
+    it, level by level.  No window spans more than 2^bits positions.
+    """
+    (order,) = order
+    if not isinstance(df.schema[order].dataType, IntegralType):
+        raise TypeError(f"the order column {order!r} must have a whole-number type")
+    own = df.groupBy(*keys, order).agg(F.max(column).alias("__own"))
+    position = F.coalesce(F.col(order).cast("bigint"), F.lit(2**63 - 1))
+    levels = -(-64 // bits)
+    chunks = [F.shiftright(position, bits * k).alias(f"__c{k}") for k in range(1, levels)]
+    rows = own.select(*keys, order, "__own", position.alias("__position"), *chunks)
+
+    carried = None
+    for k in range(levels - 1, 0, -1):
+        above = [f"__c{j}" for j in range(k + 1, levels)]
+        present = F.when(F.col("__own").isNotNull(), F.struct("__position", "__own"))
+        last = rows.groupBy(*keys, *above, f"__c{k}").agg(F.max(present)["__own"].alias("__last"))
+        before = Window.partitionBy(*keys, *above).orderBy(f"__c{k}").rowsBetween(Window.unboundedPreceding, -1)
+        level = last.withColumn("__before", F.last("__last", ignorenulls=True).over(before)).drop("__last")
+        if carried is not None:
+            outer = carried.withColumnRenamed("__before", "__outer")
+            level = left_join(level, outer, [*keys, *above])
+            level = level.withColumn("__before", F.coalesce("__before", "__outer")).drop("__outer")
+        carried = level
+
+    names = [f"__c{k}" for k in range(1, levels)]
+    upto = Window.partitionBy(*keys, *names).orderBy("__position").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("__inside", F.last("__own", ignorenulls=True).over(upto))
+    joined = left_join(inside, carried, [*keys, *names])
+    known = joined.select(*keys, order, F.coalesce("__own", "__inside", "__before").alias("__known"))
+    filled = left_join(df, known, [*keys, order])
+    return filled.withColumn(column, F.coalesce(column, "__known")).drop("__known")
+
+
+def fill_down_seasons(df: DataFrame, keys: Sequence[str], order: str, column: str) -> DataFrame:
+    """``fill_down`` for a frame that a grouping by (keys, order) made, in one window.
+
+    A group then holds a row per season, a career at most.
     """
     upto = (
         Window.partitionBy(*keys)
-        .orderBy(*_ascending(order))
+        .orderBy(F.asc_nulls_last(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return df.withColumn(column, F.last(column, ignorenulls=True).over(upto))

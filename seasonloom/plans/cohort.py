@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seasonloom.functions.scalar import if_else, null_or, ratio
 from seasonloom.operators.aggregate import at_largest, flag_rate, missing_share, strict_sum
 from seasonloom.operators.joins import full_join, left_join, prior_year
-from seasonloom.operators.windows import fill_down
+from seasonloom.operators.windows import fill_down_seasons
 from seasonloom.session import stage
 
 STARTER_PITCHES = 75
@@ -46,7 +46,7 @@ def eligible_seasons(
     The role is filled before short seasons are removed.  A roll-up has one row
     per player and season, so the fill window holds a career at most.
     """
-    filled = fill_down(rollup, ["player_id"], ["year"], "role")
+    filled = fill_down_seasons(rollup, ["player_id"], "year", "role")
     filled = filled.where(F.col("batters_faced") >= min_batters)
     with_player = left_join(filled, player.select("player_id", "name_full", "position"), ["player_id"])
     return with_player.where(null_or("position", F.col("position") == "P"))
@@ -148,7 +148,7 @@ def baseline_cohort(
     keys = ["year", "pitcher_id"]
     joined = full_join(season_files, surgeries, keys)
     timeline = role_by_season(season_files, surgeries).withColumnRenamed("role", "known_role")
-    timeline = fill_down(timeline, ["pitcher_id"], ["year"], "known_role")
+    timeline = fill_down_seasons(timeline, ["pitcher_id"], "year", "known_role")
     filled = left_join(joined, timeline, keys)
     with_role = filled.withColumn("role", F.coalesce("role", "known_role")).drop("known_role")
     named = with_role.join(pitchers, F.col("pitcher_id").eqNullSafe(F.col("player_id")))

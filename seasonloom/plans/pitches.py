@@ -8,6 +8,7 @@ from seasonloom.functions.scalar import fps_to_mph, ratio
 from seasonloom.operators.aggregate import group_count
 from seasonloom.operators.joins import inner_join, left_join
 from seasonloom.operators.windows import first_ranked, running_index
+from seasonloom.session import stage
 from seasonloom.sources import schemas
 from seasonloom.sources.tables import read_csv
 
@@ -24,30 +25,41 @@ def join_pitch_context(
     return left_join(joined, biomechanics, [("play_id", "org_movement_id")], ("_pitch", "_biomech"))
 
 
-def enrich_pitches(
+def staged_pitches(
     pitch: DataFrame, event: DataFrame, game: DataFrame, biomechanics: DataFrame
 ) -> DataFrame:
-    """Context, speed in mph, and each pitch's number within its pitcher and game.
+    """Context and speed in mph, written once: numbering reads three of its columns a second time."""
+    joined = join_pitch_context(pitch, event, game, biomechanics)
+    return stage(joined.withColumn("release_speed_mph", fps_to_mph("release_speed")), "pitches")
+
+
+def number_pitches(joined: DataFrame) -> DataFrame:
+    """Each pitch's number within its pitcher and game.
 
     Pitches that the joins repeat are told apart by every joined column, so
     equal numbers go to equal rows only.
     """
-    joined = join_pitch_context(pitch, event, game, biomechanics)
-    joined = joined.withColumn("release_speed_mph", fps_to_mph("release_speed"))
     keys, order = ["game_id", "pitcher_id"], ["event_index", "play_index"]
     ties = ["play_id", *(c for c in joined.columns if c not in {*keys, *order, "play_id"})]
     return running_index(joined, keys, order, "pitch_number", ties)
 
 
+def enrich_pitches(
+    pitch: DataFrame, event: DataFrame, game: DataFrame, biomechanics: DataFrame
+) -> DataFrame:
+    """Context, speed in mph, and each pitch's number; the joins run once."""
+    return number_pitches(staged_pitches(pitch, event, game, biomechanics))
+
+
 def read_enriched_pitches(
     spark: SparkSession, pitch: str, event: str, game: str, biomechanics: str
 ) -> DataFrame:
-    """``enrich_pitches`` over four CSV paths; columns no schema names are kept as text."""
+    """``enrich_pitches`` over four CSV paths; columns no schema names get the type their values have."""
     return enrich_pitches(
-        read_csv(spark, pitch, schemas.PITCH, keep_extra=True),
-        read_csv(spark, event, schemas.EVENT, keep_extra=True),
-        read_csv(spark, game, schemas.GAME, keep_extra=True),
-        read_csv(spark, biomechanics, schemas.BIOMECHANICS, keep_extra=True),
+        read_csv(spark, pitch, schemas.PITCH, infer_extra=True),
+        read_csv(spark, event, schemas.EVENT, infer_extra=True),
+        read_csv(spark, game, schemas.GAME, infer_extra=True),
+        read_csv(spark, biomechanics, schemas.BIOMECHANICS, infer_extra=True),
     )
 
 
@@ -80,13 +92,17 @@ def starters(pitches: DataFrame, starter_pitches: float = STARTER_PITCHES) -> Da
     return totals.where(F.col("pitches_per_game") >= starter_pitches)
 
 
-def pitch_model_data(pitches: DataFrame, starter_pitches: float = STARTER_PITCHES) -> DataFrame:
+def pitch_model_data(
+    pitches: DataFrame, starter_pitches: float = STARTER_PITCHES, counted: DataFrame | None = None
+) -> DataFrame:
     """Primary-fastball pitches of starters, with the starters' totals.
 
     Both rules are one row per pitcher, so they are joined to each other first
     and the pitches are joined once.  The type filter is repeated on the pitches,
     where it reaches the scan; Spark infers none across a null-safe key.
+    ``counted`` are the same pitches before numbering, which are cheaper to count.
     """
-    qualified = inner_join(primary_pitch(pitches), starters(pitches, starter_pitches), ["pitcher_id"])
+    counted = pitches if counted is None else counted
+    qualified = inner_join(primary_pitch(counted), starters(counted, starter_pitches), ["pitcher_id"])
     fastballs = pitches.where(F.col("pitch_type").isin(*FASTBALLS))
     return inner_join(fastballs, qualified, ["pitcher_id", "pitch_type"])

@@ -67,7 +67,9 @@ def _blend(a: str, b: str) -> dict[str, Column]:
 def spread_by_vendor(minors: DataFrame) -> DataFrame:
     """Minors measures side by side, one row per player, season and level.
 
-    Same result as the unpivot, name and pivot route, in one grouping.
+    Same result as the unpivot, name and pivot route, in one grouping, where a
+    player and season has one row per vendor.  Several rows of one vendor are
+    added up here; the pivot route refuses them.
     """
     he, tm = (F.col("vendor") == v for v in ("he", "tm"))
     return minors.groupBy("player_id", "year", "level").agg(
@@ -76,7 +78,7 @@ def spread_by_vendor(minors: DataFrame) -> DataFrame:
 
 
 def spread_by_pivot(rows: DataFrame, tag: str, tags: tuple[str, str]) -> DataFrame:
-    """The same spread through explicit unpivot and pivot operators."""
+    """The same spread through explicit unpivot and pivot operators; duplicates are an error."""
     ids = [c for c in rows.columns if c not in ("pitches", "fb_velo")]
     long = unpivot_metrics(rows, ids, ["pitches", "fb_velo"])
     long = long.withColumn("name", paste("name", tag)).drop(tag)

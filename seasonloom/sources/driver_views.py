@@ -67,6 +67,22 @@ class DriverViews:
         )
         return orders.join(per_order, orders.o_orderkey == per_order.l_orderkey)
 
+    def untyped(self) -> DataFrame:
+        """Orders as columns of every type a file may hold, some with missing values."""
+        key = F.col("o_orderkey")
+        return self.table("orders").select(
+            key.cast("int").alias("whole"),
+            F.when(key % 7 != 0, key * 10_000_000_000).alias("long"),
+            (F.col("o_totalprice") / 8).alias("fraction"),
+            F.when(key % 2 == 0, key.cast("string")).otherwise(F.concat(key.cast("string"), F.lit(".5"))).alias("mixed_number"),
+            F.when(key % 5 != 0, F.col("o_orderdate").cast("date")).alias("date"),
+            F.when(key % 2 == 0, F.col("o_orderdate").cast("date").cast("string"))
+            .otherwise(key.cast("string"))
+            .alias("date_or_number"),
+            F.when(key % 3 == 0, F.lit("NA")).otherwise(F.col("o_orderpriority")).alias("text"),
+            F.lit(None).cast("string").alias("nothing"),
+        )
+
     def season(self) -> DataFrame:
         rows = self._order_totals().select(
             (F.col("raw_year") + YEAR_SHIFT).alias("year"),

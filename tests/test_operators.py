@@ -63,6 +63,21 @@ def test_full_join_under_skew_equals_plain(spark):
     assert len(plain) > 60 * 70 * 0.1
 
 
+def _scans(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+@pytest.mark.parametrize("left_unique", [False, True])
+def test_full_join_reads_each_side_twice(spark, left_unique, tmp_path):
+    rows = [(0, i) for i in range(500)] + [(i, i) for i in range(40, 60)]
+    spark.createDataFrame(rows, "k int, b int").write.parquet(str(tmp_path / "hot"))
+    spark.createDataFrame([(0, 1), (45, 2), (99, 3), (None, 4)], "k int, a int").write.parquet(str(tmp_path / "few"))
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in ("few", "hot"))
+    joined = joins.full_join(left, right, ["k"], left_unique=left_unique)
+    assert _scans(joined) == 4
+    assert sorted(_values(joined, "*"), key=str) == sorted(_values(left.join(right, "k", "full"), "*"), key=str)
+
+
 def test_left_join_renames_and_suffixes(spark):
     left = spark.createDataFrame([("p1", 1, "FF"), (None, 2, "SI")], "play string, n int, kind string")
     right = spark.createDataFrame([("p1", "m"), (None, "w")], "move string, kind string")
@@ -110,6 +125,33 @@ def test_fill_down(spark):
     }
 
 
+@pytest.mark.parametrize("bits", [2, 5, 22])
+def test_fill_down_where_one_key_holds_most_rows(spark, bits):
+    rng = random.Random(6)
+    rows = [(1 if rng.random() < 0.8 else rng.randint(2, 9), rng.randint(-40, 400), rng.choice([None, None, None, "a", "b"])) for _ in range(1500)]
+    rows += [(1, 7, None)] * 300 + [(None, 3, "n"), (None, 9, None), (1, None, None), (3, None, "z"), (3, None, None)]
+    frame = spark.createDataFrame(rows, "g int, p int, v string").repartition(4)
+    got = sorted(_values(windows.fill_down(frame, ["g"], ["p"], "v", bits), "*"), key=str)
+    expected = []
+    for g in {r[0] for r in rows}:
+        own, last = {}, None
+        for p in sorted({r[1] for r in rows if r[0] == g}, key=lambda p: (p is None, p or 0)):
+            last = max((r[2] for r in rows if r[:2] == (g, p) and r[2]), default=last)
+            own[p] = last
+        expected += [(g, p, v or own[p]) for h, p, v in rows if h == g]
+    assert got == sorted(expected, key=str)
+    with pytest.raises(TypeError):
+        windows.fill_down(frame, ["g"], ["v"], "p")
+
+
+def test_fill_down_of_seasons_equals_the_scan(spark):
+    rows = [(k % 7, 2000 + k // 7, "s" if k % 5 == 0 else None) for k in range(70)]
+    frame = spark.createDataFrame(rows, "id int, year int, role string")
+    assert sorted(_values(windows.fill_down_seasons(frame, ["id"], "year", "role"), "*"), key=str) == sorted(
+        _values(windows.fill_down(frame, ["id"], ["year"], "role"), "*"), key=str
+    )
+
+
 def test_running_index_numbers_groups_in_order(spark):
     rng = random.Random(2)
     rows = [(0 if rng.random() < 0.4 else rng.randint(1, 40), rng.randint(0, 9), i) for i in range(400)]
@@ -223,6 +265,17 @@ def test_fused_tracking_equals_steps(spark):
     )
 
 
+def test_duplicates_are_added_up_by_vendor_and_refused_by_the_pivot(spark):
+    he = [(1, 2010, 10, 90.0), (1, 2010, 30, 92.0), (2, 2010, 5, 91.0)]
+    _, minors = tracking.tagged_sources(*_tracking(spark, [], he, [(1, 2010, 7, 88.0)]))
+    wide = {r.player_id: (r.pitches_he, r.fb_velo_he, r.pitches_tm) for r in tracking.spread_by_vendor(minors).collect()}
+    assert wide == {1: (40.0, pytest.approx(91.5), 7.0), 2: (5.0, 91.0, None)}
+    with pytest.raises(Exception, match="several rows for pitches_he at 1 2010 minors|several rows for fb_velo_he at 1 2010 minors"):
+        tracking.spread_by_pivot(minors, "vendor", ("he", "tm")).collect()
+    single = tracking.spread_by_pivot(minors.where("player_id = 2"), "vendor", ("he", "tm")).collect()
+    assert [(r.pitches_he, r.fb_velo_he, r.pitches_tm) for r in single] == [(5.0, 91.0, None)]
+
+
 def _brute_blend(a, b, gap):
     """Volume-weighted blend of two (pitches, velocity) pairs; None where a side is absent."""
     if a and b and abs(a[1] - b[1]) >= gap:

@@ -63,6 +63,49 @@ def test_strict_reading_refuses_unreadable_text(spark, tmp_path):
         tables.read_csv(spark, path, schemas.INTERNAL_BRACE, strict=True).collect()
 
 
+def test_undeclared_columns_get_the_type_of_their_values(spark, tmp_path):
+    columns = {
+        "whole": ["1", "-2", "NA", "+3"], "long": ["1", "3000000000", "", "4"], "huge": ["1", "99999999999999999999", "2", "3"],
+        "fraction": ["1.5", "NA", "2", "-.5e3"], "day": ["2020-02-29", "NA", "", "2021-01-01"], "no_day": ["2021-02-29", "2020-01-01", "NA", ""],
+        "mixed": ["2020-01-01", "5", "NA", ""], "quoted": ["1", '""', "2", "3"], "text": ["a", "NA", "1", ""],
+        "java": ["1d", "2f", "NaN", "Infinity"], "nothing": ["NA", "", "NA", ""], "id": ["7", "8", "9", "x"],
+    }
+    lines = [",".join(columns), *(",".join(c[k] for c in columns.values()) for k in range(4))]
+    _write(tmp_path, "any.csv", "\n".join(lines) + "\n")
+    rows = tables.read_csv(spark, str(tmp_path / "any.csv"), "id int", infer_extra=True)
+    assert dict(rows.dtypes) == {
+        "id": "int", "whole": "int", "long": "bigint", "huge": "double", "fraction": "double", "day": "date", "no_day": "string",
+        "mixed": "string", "quoted": "string", "text": "string", "java": "string", "nothing": "string",
+    }
+    got = rows.collect()
+    assert [r.whole for r in got] == [1, -2, None, 3] and [r.fraction for r in got] == [1.5, None, 2.0, -500.0]
+    assert [str(r.day) for r in got] == ["2020-02-29", "None", "None", "2021-01-01"]
+    assert [r.quoted for r in got] == ["1", "", "2", "3"] and [r.id for r in got] == [7, 8, 9, None]
+
+
+def test_kinds_merge_in_any_order():
+    kinds = [0, *(1 << k for k in range(5))]
+    for a in kinds:
+        for b in kinds:
+            assert tables._type_of(a | b) == tables._type_of(b | a)
+    assert [tables._type_of(k) for k in kinds] == ["string", "int", "bigint", "double", "date", "string"]
+    assert tables._type_of(1 | 8) == "string" and tables._type_of(1 | 2 | 4) == "double"
+
+
+def test_a_folder_of_many_entries_plans_with_few_jobs(spark, tmp_path):
+    root = tmp_path / "seasons"
+    headers = ["pitcher_id,batters_faced,role", "role,pitcher_id,batters_faced"]
+    for k in range(300):
+        _write(root, f"{1700 + k} all.csv", headers[k % 2] + "\n" + ("1,2,starter" if k % 2 == 0 else "starter,1,2") + "\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("many-entries", "plan")
+    rows = tables.read_by_year(spark, str(root), schemas.SEASON_BY_FILE)
+    jobs = len(tracker.getJobIdsForGroup("many-entries"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs <= 10
+    assert {tuple(r) for r in rows.collect()} == {(1700 + k, 1, 2, "starter") for k in range(300)}
+
+
 def test_unstage_deletes_the_files(spark):
     staged = stage(spark.range(5).toDF("id"), "probe")
     unstage(staged)
