@@ -5,16 +5,22 @@ block is described by its tag path (element names, classes, ids and roles, hashe
 words (hashed), and a few measures; the network reads the blocks of the whole page in both
 directions and labels each as main text or not.  The text of a page is its main blocks.
 
-The network is trained in NumPy on about ``sample_pages`` pages, those whose id hashes
-lowest, with labels that page landmarks give: inside ``article`` or ``main`` and in no
+The network is trained in NumPy on at most ``sample_pages`` pages, those first by a hash of
+id and html, and at most ``sample_windows`` stretches of ``WINDOW`` blocks of each, spread
+evenly over it, with labels that page landmarks give: inside ``article`` or ``main`` and in no
 element whose name, class, id or role names a menu, header, footer, sidebar, notice, advert,
 form or comments.  On pages without landmarks, long blocks with few links count as main.  In
 training the landmarks are hidden from a tenth of the pages, so that words and context are
 learned too.  Executors describe the sample; the driver receives numbers only.
 
+Only scripts, styles, comments and tags are taken out of a page; formulas, fallback content and
+the like are text that the network judges.  A quote delimits an attribute's value only after
+an equals sign.  Elements share their path's description with what lies inside them, so a
+page costs its length however deep its elements nest.
+
 Defined cases: null html is an empty page with an empty text; what a page cut off inside a
-tag or comment leaves is dropped, markup that is never closed counts as closed at the end;
-repeated rows repeat their text; an empty table trains nothing and gives no rows; a sample
+tag or comment leaves is dropped, markup that is never closed counts as closed at the end
+(so does a script, which then is the rest of the page); repeated rows repeat their text; an empty table trains nothing and gives no rows; a sample
 with no main block gives empty texts.  Columns named like an output column are replaced.
 """
 
@@ -23,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,6 +42,7 @@ from pyspark.sql import types as T
 
 from seasonloom.llm.bytetext import slices
 from seasonloom.llm.shipping import shipped
+from seasonloom.session import stage, unstage
 
 # Element names of HTML.
 BLOCK = set(
@@ -43,56 +51,95 @@ BLOCK = set(
     "section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template iframe object svg canvas audio video textarea math".split())
+RAW = {"script", "style"}
 LANDMARKS = {"article", "main"}
-ASIDE = set("nav header footer aside form menu dialog button select fieldset head title".split())
+ASIDE = set("nav header footer aside form menu dialog button select fieldset head template textarea title".split())
 ASIDE_WORDS = set(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
     "form header login menu modal nav navbar navigation newsletter notice pagination popup promo related reply "
     "replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*?)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)", re.S
+)
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PART = re.compile(r"[a-z]+")
 
 PATHS, WORDS, MEASURES = 96, 64, 6
 WIDTH = PATHS + WORDS + MEASURES
+# Blocks of a stretch that is learned from at a time.
+WINDOW = 48
+
+
+@dataclass(frozen=True)
+class Element:
+    """An open element: its name, and what it and the elements around it say.
+
+    ``slots`` are the hashed words of the whole path as bits, ``main`` says that a landmark is
+    in it, ``aside`` that something else than main text is.
+    """
+
+    name: str
+    depth: int
+    slots: int
+    main: bool
+    aside: bool
+
+    def within(self, name: str, attributes: str) -> Element:
+        slots, main, aside = _described(name, attributes)
+        return Element(name, self.depth + 1, self.slots | slots, self.main or main, self.aside or aside)
+
+
+ROOT = Element("", 0, 0, False, False)
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    inside: Element
     linked: int
 
 
-@lru_cache(maxsize=1 << 16)
-def _named(name: str, attributes: str) -> str:
-    """An element as its name and the words of its class, id and role."""
-    found = [value.strip("\"'").lower() for _, value in _NAMED.findall(attributes)]
-    return " ".join([name, *(w for value in found for w in _PART.findall(value))])
+@lru_cache(maxsize=1 << 14)
+def _slot(word: str, size: int) -> int:
+    return zlib.crc32(word.encode()) % size
+
+
+def _described(name: str, attributes: str) -> tuple[int, bool, bool]:
+    """Slots of an element's name and of the words of its class, id and role; main; aside."""
+    found = [value.strip("\"'").lower() for _, value in _NAMED.findall(attributes)] if "=" in attributes else []
+    words = {w for value in found for w in _PART.findall(value)}
+    slots = 0
+    for word in {name, *words}:
+        slots |= 1 << _slot(word, PATHS)
+    return slots, name in LANDMARKS, name in ASIDE or not ASIDE_WORDS.isdisjoint(words)
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order, without empty ones."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Element] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked = [0]
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, tuple(e for _, e in stack), linked[0]))
+            out.append(Block(text, stack[-1] if stack else ROOT, linked))
         parts.clear()
-        linked[0] = 0
+        linked = 0
 
     def close(name: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
+        if opened[name]:
+            while True:
+                last = stack.pop().name
+                opened[last] -= 1
+                if last == name:
+                    return
 
     at, n = 0, len(page)
     while at < n:
@@ -100,17 +147,17 @@ def blocks(page: str) -> list[Block]:
         text = page[at : tag.start()] if tag else page[at:]
         if text:
             parts.append(text)
-            if any(name == "a" for name, _ in stack):
-                linked[0] += len(text)
+            if opened["a"]:
+                linked += len(text)
         if not tag:
             break
         at = tag.end()
         if not tag[2]:
             continue
         name, closing = tag[2].lower(), bool(tag[1])
-        if name in HIDDEN:
-            if not closing and not tag[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+        if name in RAW:
+            if not closing:
+                end = _RAW_END[name].search(page, at)
                 at = end.end() if end else n
             parts.append(" ")
             continue
@@ -120,12 +167,13 @@ def blocks(page: str) -> list[Block]:
             flush()
         if closing:
             close(name)
-        elif name not in VOID:
-            if name in BLOCK and any(e == "p" for e, _ in stack):
+        elif name not in VOID and not tag[3].endswith("/"):
+            if name in BLOCK:
                 close("p")
-            if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
+            if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].name == name:
                 close(name)
-            stack.append((name, _named(name, tag[3])))
+            stack.append((stack[-1] if stack else ROOT).within(name, tag[3]))
+            opened[name] += 1
     flush()
     return out
 
@@ -133,29 +181,19 @@ def blocks(page: str) -> list[Block]:
 def landmark_labels(page: list[Block]) -> list[bool]:
     """Training labels: what landmarks say, or length and links where there are none."""
 
-    def outside(path: tuple[str, ...]) -> bool:
-        return any(e.split()[0] in ASIDE or ASIDE_WORDS.intersection(e.split()[1:]) for e in path)
-
-    within = [any(e.split()[0] in LANDMARKS for e in b.path) for b in page]
-    if any(within):
-        return [inside and not outside(b.path) for inside, b in zip(within, page, strict=True)]
-    return [len(b.text) >= 80 and 4 * b.linked < len(b.text) and not outside(b.path) for b in page]
-
-
-@lru_cache(maxsize=1 << 16)
-def _slot(word: str, size: int) -> int:
-    return zlib.crc32(word.encode()) % size
+    if any(b.inside.main for b in page):
+        return [b.inside.main and not b.inside.aside for b in page]
+    return [len(b.text) >= 80 and 4 * b.linked < len(b.text) and not b.inside.aside for b in page]
 
 
 def describe(page: list[Block]) -> np.ndarray:
     """One row of ``WIDTH`` numbers per block."""
     out = np.zeros((len(page), WIDTH), dtype=np.float32)
+    slots = b"".join(b.inside.slots.to_bytes(PATHS // 8, "little") for b in page)
+    out[:, :PATHS] = np.unpackbits(np.frombuffer(slots, np.uint8).reshape(len(page), PATHS // 8), axis=1, bitorder="little")
     for k, b in enumerate(page):
-        for depth, element in enumerate(b.path):
-            for word in element.split():
-                out[k, _slot(word, PATHS)] = 1.0
-        if b.path:
-            out[k, _slot("leaf " + b.path[-1].split()[0], PATHS)] = 1.0
+        if b.inside is not ROOT:
+            out[k, _slot("leaf " + b.inside.name, PATHS)] = 1.0
         words = [zlib.crc32(w) % WORDS for w in b.text.lower().encode().split()]
         out[k, PATHS : PATHS + WORDS] = np.bincount(words, minlength=WORDS) / max(len(words), 1)
         n = len(b.text)
@@ -165,7 +203,7 @@ def describe(page: list[Block]) -> np.ndarray:
             sum(b.text.count(c) for c in ".,;:") * 10 / max(n, 1),
             k / len(page),
             1.0,
-            len(b.path) / 10,
+            min(b.inside.depth, 50) / 10,
         )
     return out
 
@@ -242,7 +280,7 @@ class Labeller:
 
 
 def fit(
-    pages: list[tuple[np.ndarray, np.ndarray]], hidden: int = 16, rounds: int = 10, batch: int = 16, window: int = 48, seed: int = 5
+    pages: list[tuple[np.ndarray, np.ndarray]], hidden: int = 16, rounds: int = 10, batch: int = 16, window: int = WINDOW, seed: int = 5
 ) -> Labeller:
     """Labeller of (block features, labels) pairs: Adam on the mean cross-entropy."""
     rng = np.random.default_rng(seed)
@@ -278,26 +316,33 @@ def fit(
     return Labeller(w)
 
 
-def train(pages: DataFrame, sample_pages: int = 300) -> Labeller:
-    """Labeller from about ``sample_pages`` pages."""
+def train(pages: DataFrame, sample_pages: int = 300, sample_windows: int = 20) -> Labeller:
+    """Labeller from at most ``sample_pages`` pages."""
     shipped(pages.sparkSession)
-    share = min(1.0, sample_pages / max(1, pages.count()))
-    limit = min(int(-(2**63) + share * (2**64 - 1)), 2**63 - 1)
-    chosen = pages.where(F.xxhash64("page_id") <= F.lit(limit)).select("page_id", "html")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    rows = rows.withColumn("mark", F.xxhash64("page_id", "html"))
+    marks = rows.select("mark").distinct().orderBy("mark").limit(sample_pages)
+    # Written out, so that the join knows its size and need not move the pages.
+    marks = stage(marks, "pagetext-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(t or "") for t in batch.column(1).to_pylist()]
-            rows = [describe(p).tobytes() for p in found]
-            labels = [np.array(landmark_labels(p), dtype=np.uint8).tobytes() for p in found]
-            columns = [batch.column(0), pa.array(rows, pa.binary()), pa.array(labels, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "x", "y"])
-
-    rows = chosen.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(
-        run, "page_id long, x binary, y binary"
-    )
-    rows = sorted(rows.collect(), key=lambda r: (r.page_id is None, r.page_id or 0, bytes(r.x)))
-    return fit([(np.frombuffer(r.x, np.float32).reshape(-1, WIDTH), np.frombuffer(r.y, np.uint8)) for r in rows])
+            for part in slices(batch, 1, 2 << 20):
+                x, y = [], []
+                for page in map(blocks, (t or "" for t in part.column(1).to_pylist())):
+                    starts = np.arange(0, len(page), WINDOW)
+                    if len(starts) > sample_windows:
+                        starts = starts[np.linspace(0, len(starts) - 1, sample_windows).astype(int)]
+                    picked = [k for s in starts for k in range(s, min(s + WINDOW, len(page)))]
+                    x.append(describe(page)[picked].tobytes())
+                    y.append(np.array(landmark_labels(page), dtype=np.uint8)[picked].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["mark", "x", "y"])
+
+    found = rows.join(marks, "mark").select("mark", "html").mapInArrow(run, "mark long, x binary, y binary")
+    found = found.groupBy("mark").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    found = sorted(found.collect(), key=lambda r: r.mark)
+    unstage(marks)
+    return fit([(np.frombuffer(r.x, np.float32).reshape(-1, WIDTH), np.frombuffer(r.y, np.uint8)) for r in found])
 
 
 def extract(pages: DataFrame, labeller: Labeller, threshold: float = 0.5) -> DataFrame:

@@ -1,6 +1,7 @@
 """Blocks of pages, the network's gradient, and extraction against known texts."""
 
 import os
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -32,6 +33,87 @@ def test_broken_pages_do_not_fail(page):
     assert all(b.text for b in pagetext.blocks(page))
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<article><p>Area is <math>x=2</math> here", ["Area is x=2 here"]),
+        ("<p>a<object>fallback</object> b<noscript>c</noscript><video>d</video></p>", ["afallback bcd"]),
+        ("<p>one<noscript><p>two<p>three", ["one", "two", "three"]),
+        ("<p>one<svg><p>two", ["one", "two"]),
+        ("<a title=it's>Hello</a> world<p>He didn't go<p>\"Quoted\" end", ["Hello world", "He didn't go", '"Quoted" end']),
+        ("<a title='a>b' href=\"c>d\">in</a> out", ["in out"]),
+        ("<p a = 'x>y'>one</p><p a=\">two", ["one", "two"]),
+        ("<p>one<style>p{}<p>two", ["one"]),
+        ("<p>one<SCRIPT>x</p></Script >two", ["one two"]),
+        ("<p/>one<br/>two", ["one two"]),
+    ],
+)
+def test_content_and_attributes(page, texts):
+    assert [b.text for b in pagetext.blocks(page)] == texts
+
+
+def test_deep_pages_cost_their_length():
+    import time
+
+    took = []
+    for n in (40_000, 400_000):
+        page = "<li><font class=x>word " * n
+        started = time.perf_counter()
+        found = pagetext.blocks(page)
+        took.append(time.perf_counter() - started)
+        assert len(found) == n and found[-1].inside.depth == 2 * n
+    # Ten times the page; far from a hundred times the time.
+    assert took[1] < 30 * took[0] + 1
+
+
+class _Article(HTMLParser):
+    """The planted article of a fixture page: what lies in <article>, by the standard parser.
+
+    Every page of the fixture has one article, and nothing but the article in it.
+    """
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.parts = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag in ("article", "h1", "p"):
+            self.parts.append("")
+        if tag == "br":
+            self.parts[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "h1", "p"):
+            self.parts.append("")
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts[-1] += data
+
+
+def test_query_finds_the_planted_article(spark):
+    pages = {r.page_id: r.html for r in queries.table(spark, SF, "pages").collect()}
+    wrong = []
+    for r in queries.op7_page_text(spark, SF).collect():
+        parser = _Article()
+        parser.feed(pages[r.page_id])
+        lines = [" ".join(p.split()) for p in parser.parts]
+        if r.text != "\n".join(x for x in lines if x):
+            wrong.append(r.page_id)
+    assert len(wrong) <= 0.01 * len(pages)
+
+
+def test_sample_is_bounded_in_pages_and_blocks(spark, monkeypatch):
+    rows = [(1, "<article>" + "<p>words here</p>" * 5000)] + [(2, "<article><p>copy</p></article>")] * 40 + [(k, f"<p>{k}</p>") for k in range(3, 40)]
+    seen = []
+    monkeypatch.setattr(pagetext, "fit", lambda pages: seen.extend(pages))
+    pagetext.train(spark.createDataFrame(rows, "page_id int, html string"), 39, 5)
+    assert len(seen) == 39 and max(len(y) for _, y in seen) <= 5 * pagetext.WINDOW
+    assert all(len(x) == len(y) for x, y in seen)
+
+
 def test_gradient_equals_differences():
     rng = np.random.default_rng(1)
     bounds, size = np.array([0, 3, 3, 4, 9]), 4
