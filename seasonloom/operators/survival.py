@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
 from seasonloom.operators.windows import running_totals
-from seasonloom.session import stage
+from seasonloom.session import stage, unstage
 
-# Tied events of one time are expanded in blocks of this many.
-TIE_BLOCK = 8192
+# Up to so many events tied at one time are summed one by one, more by series.
+TIE_BLOCK = 16
+# The series hold for arguments from here on; below, at most as many terms are summed.
+_SERIES_FROM = 16
 
 # A standard error above this, per standard unit of a covariate, says that the
 # likelihood keeps rising towards infinity.
@@ -141,12 +143,47 @@ def _sum_all(**terms: str) -> list[Column]:
     return [F.expr(f"sum({e}) as {name}") for name, e in terms.items()]
 
 
-def _tied_terms(reduced: DataFrame, z: list[str], beta: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Risk sets per time, and one row per tied event with its share-adjusted sums.
+def _tie_sums() -> list[str]:
+    """Sums over the shares l / d of d tied events: of 1 / phi, 1 / phi^2 and ln phi, as h1, h2 and lg.
 
-    Events tied at one time leave the risk set one by one on average (Efron).
-    A time with very many events is first cut into blocks that are spread by a
-    shuffle, so no task expands more than its share.
+    With phi = s0 - (l / d) e0 = c (x - l), c = e0 / d and x = s0 / c, these are differences of
+    the digamma, trigamma and log-gamma functions at b = x + 1 and a = x - m + 1 for the first m
+    shares.  Their asymptotic series are cut after a term below 1e-13 of an argument of 16, and
+    the leading logarithms are taken of the ratio, so that close arguments lose no digits.
+    Shares with a smaller argument (16 at most), or few altogether, are summed one by one.
+    """
+
+    def gap(power: int) -> str:
+        return f"(pow(b, -{power}) - pow(a, -{power}))"
+
+    digamma = f"log1p(m / a) + m / (2 * a * b) - {gap(2)} / 12 + {gap(4)} / 120 - {gap(6)} / 252 + {gap(8)} / 240"
+    trigamma = (
+        f"m / (a * b) - {gap(2)} / 2 - {gap(3)} / 6 + {gap(5)} / 30 - {gap(7)} / 42 + {gap(9)} / 30"
+    )
+    gamma = (
+        f"m * ln(a) + (b - 0.5D) * log1p(m / a) - m"
+        f" + {gap(1)} / 12 - {gap(3)} / 360 + {gap(5)} / 1260 - {gap(7)} / 1680"
+    )
+    return [
+        f"rest.h1 + if(m > 0, ({digamma}) / c, 0D) as h1",
+        f"rest.h2 + if(m > 0, ({trigamma}) / (c * c), 0D) as h2",
+        f"rest.lg + if(m > 0, m * ln(c) + {gamma}, 0D) as lg",
+    ]
+
+
+_REST = """aggregate(
+    if(m < n_event, sequence(m, n_event - 1), cast(array() as array<bigint>)),
+    named_struct('h1', 0D, 'h2', 0D, 'lg', 0D),
+    (t, l) -> named_struct('h1', t.h1 + 1 / (s0 - l * c), 'h2', t.h2 + 1 / ((s0 - l * c) * (s0 - l * c)),
+      'lg', t.lg + ln(s0 - l * c))) as rest"""
+
+
+def _event_times(reduced: DataFrame, z: list[str], beta: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Risk sets of all times, those of times with events and their sums, and what is staged.
+
+    Events tied at one time leave the risk set one by one on average (Efron), which
+    enters through three sums of each time (``_tie_sums``).  Every moment of the
+    risk set is then r + q / phi, with r = e / e0 and q = s - r s0.
     """
     p = len(z)
     eta = " + ".join(f"{float(b)!r}D * {x}" for b, x in zip(beta, z))
@@ -168,23 +205,29 @@ def _tied_terms(reduced: DataFrame, z: list[str], beta: np.ndarray) -> tuple[Dat
     risk = {"s" + k: F.col("a" + k) for k in moments} | {"n_risk": F.col("n_rows")}
     at_risk = _risk_sets(per_time, [], risk).drop(*("a" + k for k in moments))
 
-    blocks = f"explode(sequence(0L, cast(floor((n_event - 1) / {TIE_BLOCK}) as bigint))) as block"
-    tied = at_risk.where("n_event > 0").selectExpr("*", blocks).repartition("time", "block")
-    last = f"least((block + 1) * {TIE_BLOCK}, n_event) - 1"
-    tied = tied.selectExpr("*", f"explode(sequence(block * {TIE_BLOCK}, {last})) as l")
-    phi = [f"s{k} - l / n_event * e{k} as phi{k}" for k in moments]
-    return at_risk, tied.selectExpr("time", "l", "eta", *xs, *phi)
+    tied = at_risk.where("n_event > 0").selectExpr("*", "e0 / n_event as c", "s0 * n_event / e0 as x")
+    by_series = f"least(cast(n_event as double), greatest(floor(x) - {_SERIES_FROM - 1}, 0))"
+    tied = tied.selectExpr("*", f"if(n_event <= {TIE_BLOCK}, 0L, cast({by_series} as bigint)) as m")
+    tied = tied.selectExpr("*", "x - m + 1 as a", "x + 1 as b", _REST).selectExpr("*", *_tie_sums())
+    others = [k for k in moments if k != "0"]
+    tied = tied.selectExpr("*", *(f"e{k} / e0 as r{k}" for k in others))
+    return at_risk, tied.selectExpr("*", *(f"s{k} - r{k} * s0 as q{k}" for k in others)), per_time
 
 
 def _score(reduced: DataFrame, z: list[str], beta: np.ndarray):
     """Log-likelihood, gradient and information at ``beta``: one job, one small row."""
     p = len(z)
-    _, tied = _tied_terms(reduced, z, beta)
-    terms = ["if(l = 0, eta, 0D) - ln(phi0)"]
-    terms += [f"if(l = 0, x_{i}, 0D) - phi1_{i} / phi0" for i in range(p)]
-    terms += [f"phi2_{i}{j} / phi0 - phi1_{i} * phi1_{j} / (phi0 * phi0)" for i, j in _pairs(p)]
+    _, tied, staged = _event_times(reduced, z, beta)
+    terms = ["eta - lg"]
+    terms += [f"x_{i} - (n_event * r1_{i} + q1_{i} * h1)" for i in range(p)]
+    terms += [
+        f"n_event * r2_{i}{j} + q2_{i}{j} * h1 - (n_event * r1_{i} * r1_{j}"
+        f" + (r1_{i} * q1_{j} + r1_{j} * q1_{i}) * h1 + q1_{i} * q1_{j} * h2)"
+        for i, j in _pairs(p)
+    ]
     row = tied.agg(*_sum_all(**{f"c{i}": e for i, e in enumerate(terms)})).first()
-    values = np.array([float(v) for v in row])
+    unstage(staged)
+    values = np.array([np.nan if v is None else float(v) for v in row])
     info = np.zeros((p, p))
     for (i, j), v in zip(_pairs(p), values[1 + p :]):
         info[i, j] = info[j, i] = v
@@ -305,11 +348,9 @@ def cox_curve(fit: CoxFit, at: dict[str, float] | None = None, level: float = 0.
     z = _standardised(fit.names, fit.center, fit.scale)
     risk = float(np.exp(point @ beta))
 
-    at_risk, tied = _tied_terms(fit.reduced, z, beta)
-    q = {f"d_q{i}": f"(phi1_{i} / phi0 - {float(point[i])!r}D) / phi0" for i in range(p)}
-    jumps = tied.groupBy("time").agg(
-        *_sum_all(d_hazard="1 / phi0", d_variance="1 / (phi0 * phi0)", **q)
-    )
+    at_risk, tied, _ = _event_times(fit.reduced, z, beta)
+    q = (f"(r1_{i} - {float(point[i])!r}D) * h1 + q1_{i} * h2 as d_q{i}" for i in range(p))
+    jumps = tied.selectExpr("time", "h1 as d_hazard", "h2 as d_variance", *q)
     names = ["hazard", "variance", *(f"q{i}" for i in range(p))]
     steps = at_risk.select("time", "n_risk", "n_event", (F.col("n_rows") - F.col("n_event")).alias("n_censor"))
     steps = steps.join(jumps, "time", "left")

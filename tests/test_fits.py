@@ -1,6 +1,7 @@
 """Survival, least-squares and mixed-model fits against small dense solutions."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -127,6 +128,36 @@ def test_cox_tie_blocks(cox_case, monkeypatch):
     assert info == pytest.approx(dense[2])
 
 
+@pytest.mark.parametrize("ties", [1, 17, 10_000_000])
+def test_any_number_of_ties_at_one_time(spark, ties):
+    # Counts of (time, event, x); at time 3 all that are left have the event.
+    rows = [(1, True, 0.5, ties), (1, True, -1.0, 2 * ties // 3), (1, False, 0.25, 40), (2, True, 1.0, 2), (2, False, 0.0, 3)]
+    rows += [(3, True, 2.0, 20), (3, True, 0.0, 9)]
+    beta = np.array([0.3])
+    got = survival._score(spark.createDataFrame(rows, "time long, event boolean, x double, n long"), ["x"], beta)
+    loglik = gradient = information = 0.0
+    for t in (1, 2, 3):
+        risk, hit = [r for r in rows if r[0] >= t], [r for r in rows if r[0] == t and r[1]]
+        s, e = ([sum(n * math.exp(0.3 * x) * x**k for _, _, x, n in part) for k in range(3)] for part in (risk, hit))
+        d = sum(r[3] for r in hit)
+        share = np.arange(d) / d if d else np.zeros(0)
+        phi = [s[k] - share * e[k] for k in range(3)]
+        loglik += sum(0.3 * x * n for _, _, x, n in hit) - np.log(phi[0]).sum()
+        gradient += sum(x * n for _, _, x, n in hit) - (phi[1] / phi[0]).sum()
+        information += (phi[2] / phi[0] - (phi[1] / phi[0]) ** 2).sum()
+    assert got[0] == pytest.approx(loglik, rel=1e-9)
+    assert got[1][0] == pytest.approx(gradient, rel=1e-8, abs=1e-9 * ties)
+    assert got[2][0, 0] == pytest.approx(information, rel=1e-8)
+
+
+def test_cox_leaves_nothing_of_its_evaluations_behind(cox_case):
+    from seasonloom.session import shared_dir
+
+    fit = cox_case[0]
+    left = os.listdir(os.path.join(shared_dir(fit.reduced.sparkSession), "seasonloom"))
+    assert not [name for name in left if name.startswith("cox-times")]
+
+
 def test_cox_curve_matches_dense(cox_case):
     fit, time, event, x = cox_case
     at = {"starter": 1.0, "load": 700.0}
