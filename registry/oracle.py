@@ -458,11 +458,11 @@ def _km(stratum: str) -> str:
         from per_time group by {stratum} having min(time) > 0)
       select {stratum}, cast(time as bigint) as time, cast(n_risk as bigint) as n_risk,
         cast(n_event as bigint) as n_event, cast(n_censor as bigint) as n_censor,
-        round(case when ended = 1 then 0.0 else exp(log_survival) end, 6) as survival,
-        round(case when ended = 0 then std_err end, 6) as std_err,
-        round(case when ended = 0 then exp(log_survival - 1.959963984540054 * std_err) end, 6) as lower,
-        round(case when ended = 0
-          then least(1.0, exp(log_survival + 1.959963984540054 * std_err)) end, 6) as upper
+        {_significant("case when ended = 1 then 0.0 else exp(log_survival) end")} as survival,
+        {_significant("case when ended = 0 then std_err end")} as std_err,
+        {_significant("case when ended = 0 then exp(log_survival - 1.959963984540054 * std_err) end")} as lower,
+        {_significant("case when ended = 0 then least(1.0, exp(log_survival + 1.959963984540054 * std_err)) end")}
+          as upper
       from steps"""
 
 
@@ -572,13 +572,13 @@ _STATEMENTS = {
     "pitch_model_data": "select * from model_rows",
     "km_by_role": _km("role"),
     "km_by_level": _km("level"),
-    "velo_ols_game": """
-        select pitcher_id, game_id, count(*) as n,
-          round(case when min(pitch_number) < max(pitch_number)
-            then regr_intercept(release_speed_mph, pitch_number) end, 6) as intercept,
-          round(case when min(pitch_number) < max(pitch_number)
-            then regr_slope(release_speed_mph, pitch_number) end, 6) as slope
-        from model_rows group by pitcher_id, game_id""",
+    "velo_ols_game": f"""
+        select pitcher_id, game_id, n, {_significant("intercept")} as intercept, {_significant("slope")} as slope
+        from (
+          select pitcher_id, game_id, count(*) as n,
+            case when min(pitch_number) < max(pitch_number) then regr_intercept(release_speed_mph, pitch_number) end as intercept,
+            case when min(pitch_number) < max(pitch_number) then regr_slope(release_speed_mph, pitch_number) end as slope
+          from model_rows group by pitcher_id, game_id)""",
     "velo_given_summary": _given("|intercept, slope, sigma, criterion", "total"),
     "velo_given_pitcher": _given(
         "player_id, name_full|intercept, slope", "(select * from pitcher_line left join player using (player_id))"

@@ -18,9 +18,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 # The driver tables hold 1 to 10 pitches per pitcher and day.
 STARTER_PITCHES = 2.5
 
-# Decimal places kept of fitted values.
-DIGITS = 6
-
 _QUERIES: dict[str, Query] = {}
 
 
@@ -29,13 +26,18 @@ def _query(build: Callable[[DriverViews], DataFrame]) -> Callable[[DriverViews],
     return build
 
 
+def _significant(df: DataFrame) -> DataFrame:
+    """Six significant digits of every number, in which two engines' sums agree."""
+    numbers = [n for n, t in df.dtypes if t == "double"]
+    digits = {n: F.when(F.col(n).isNotNull(), F.format_string("%.5e", n)).cast("double") for n in numbers}
+    return df.withColumns(digits)
+
+
 def _fit(build: Callable[[DriverViews], DataFrame]) -> Callable[[DriverViews], DataFrame]:
     """A query whose sums, logs or exponentials differ in the last digits between engines."""
 
     def rounded(v: DriverViews) -> DataFrame:
-        result = build(v)
-        fractional = [n for n, t in result.dtypes if t == "double"]
-        return result.withColumns({n: F.round(n, DIGITS) for n in fractional})
+        return _significant(build(v))
 
     rounded.__name__ = build.__name__
     return _query(rounded)
@@ -410,12 +412,6 @@ def km_by_level(v: DriverViews) -> DataFrame:
     return _stratum(v, "level")
 
 
-def _significant(df: DataFrame) -> DataFrame:
-    """Six significant digits of every number, in which two engines' sums agree."""
-    numbers = [n for n, t in df.dtypes if t == "double"]
-    return df.withColumns({n: F.format_string("%.5e", n).cast("double") for n in numbers})
-
-
 @_query
 def cox_fit(v: DriverViews) -> DataFrame:
     return _significant(survival.injury_cox(_survival_cohort(v)).table())
