@@ -10,7 +10,8 @@ Results depend on the rows, the seed and the two sizes alone, not on the input's
 on task retries.  Defined cases: null keys and null texts are ordinary values (a null text
 has size 16 and checksum 0); copies of a text lie in different buckets when their keys
 differ, and rows equal in both share one; an empty table writes no row.  Input columns
-named like an output column are replaced by it.
+named like an output column are replaced by it; other names cannot clash, as a row travels
+packed in one column.
 """
 
 from __future__ import annotations
@@ -61,27 +62,29 @@ def shuffled(
 ) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot``."""
     shipped(docs.sparkSession)
-    kept = docs.drop(*OUTPUT)
-    sized = kept.withColumn("size", row_size(text))
-    total = sized.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    n_rows, n_buckets = total["rows"], max(2 * n_shards, -(-total["bytes"] // bucket_bytes))
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     scattered = F.xxhash64(F.lit(seed), F.col(f"`{key}`"), value)
-    checksum = F.crc32(value.cast("binary"))
+    total = docs.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_size(text)), F.lit(0)).alias("bytes")).first()
+    n_rows, n_buckets = total["rows"], max(2 * n_shards, -(-total["bytes"] // bucket_bytes))
     bucket = F.pmod(scattered, F.lit(n_buckets)).alias("bucket")
-    counts = kept.select(bucket).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-    rows = sized.select("*", checksum.alias("text_crc32"), F.xxhash64(scattered).alias("order"), bucket)
-    schema = T.StructType(
-        [*sized.schema, *(T.StructField(n, T.LongType()) for n in ("text_crc32", "shard", "slot"))]
+    counts = docs.select(bucket).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+    kept = [c for c in docs.columns if c not in OUTPUT]
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"),
+        F.col(f"`{key}`").alias("key"),
+        row_size(text).alias("size"),
+        F.crc32(value.cast("binary")).alias("text_crc32"),
+        F.xxhash64(scattered).alias("order"),
+        bucket,
     )
+    schema = T.StructType([rows.schema["row"], *(T.StructField(n, T.LongType()) for n in OUTPUT)])
     names = schema.fieldNames()
 
     def shuffle(group: pa.Table) -> pa.Table:
         number, offset = group["bucket"][0].as_py(), group["offset"][0].as_py()
-        fixed = group.append_column("null_key", pc.is_null(group[key]))
-        at = pc.sort_indices(
-            fixed, [("order", "ascending"), ("null_key", "ascending"), (key, "ascending"), ("text_crc32", "ascending")]
-        )
+        fixed = group.select(["order", "key", "text_crc32"]).append_column("null_key", pc.is_null(group["key"]))
+        by = ["order", "null_key", "key", "text_crc32"]
+        at = pc.sort_indices(fixed, [(name, "ascending") for name in by])
         chosen = at.take(pa.array(_fisher_yates(len(at), seed, number)))
         rank = offset + np.arange(len(at))
         shard = rank * n_shards // max(n_rows, 1)
@@ -90,7 +93,7 @@ def shuffled(
         return out.append_column("shard", pa.array(shard)).append_column("slot", pa.array(slot)).select(names)
 
     dealt = rows.join(_offsets(counts), "bucket")
-    return dealt.groupBy("bucket").applyInArrow(shuffle, schema)
+    return dealt.groupBy("bucket").applyInArrow(shuffle, schema).select("row.*", *OUTPUT)
 
 
 def write(rows: DataFrame, path: str) -> DataFrame:

@@ -41,6 +41,8 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:x-page:"
 
+# What a page's record is made of.
+_RECORDED = ["page_id", "url", "payload", "digest", "refers_to"]
 MANIFEST = "path string, records long, bytes long"
 RECORD = pa.schema(
     {
@@ -76,17 +78,34 @@ def classified(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "payload", "digest", revisit.alias("refers_to"))
 
 
-def dictionary(pages: DataFrame, size: int = 64 << 10, sample_rows: int = 800, sample_cut: int = 16 << 10) -> bytes:
-    """A trained dictionary, or none where the sample is too small for one."""
+def dictionary(
+    pages: DataFrame, size: int = 64 << 10, sample_rows: int = 800, pieces: int = 4, piece_bytes: int = 4 << 10
+) -> bytes:
+    """A dictionary trained on archived records, or none where the sample is too small for one.
+
+    The records of at most ``sample_rows`` pages, those first by a hash of id and html, are
+    built as they are archived, headers and revisits included; of a long one ``pieces`` parts
+    of ``piece_bytes`` are taken, spread evenly from its head to its end.
+    """
     import zstandard
 
-    full = pages.where("html <> ''").select(F.xxhash64("page_id").alias("h"), F.substring("html", 1, sample_cut).alias("t"))
-    # The lowest hashes hold sample_rows pages in expectation: each task sends its share of them.
-    share = min(1.0, sample_rows / max(1, full.count()))
-    below = int(-(2**63) + share * (2**64 - 1))
-    sample = [r.t.encode() for r in full.where(F.col("h") <= F.lit(min(below, 2**63 - 1))).orderBy("h", "t").collect()]
+    shipped(pages.sparkSession)
+    sample = pages.orderBy(F.xxhash64(F.col("page_id").cast("long"), F.col("html").cast("string"))).limit(sample_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for values in zip(*batch.columns, strict=True):
+                record = _page_record(*(v.as_py() for v in values))
+                last = max(0, len(record) - piece_bytes)
+                starts = {last * k // max(1, pieces - 1) for k in range(pieces)} if last else {0}
+                found += [record[k : k + piece_bytes] for k in sorted(starts)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["piece"])
+
+    records = classified(sample).select(_RECORDED).mapInArrow(run, "piece binary")
     try:
-        return zstandard.train_dictionary(size, sample, threads=0).as_bytes()
+        cut = sorted(bytes(r.piece) for r in records.collect())
+        return zstandard.train_dictionary(size, cut, threads=0).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
@@ -151,15 +170,22 @@ class _Archive:
         return {"path": self.path, "records": self.records, "bytes": self.bytes}
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark itself would read it by."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString()
+
+
 def write(rows: DataFrame, folder: str, trained: bytes, archive_bytes: int = 256 << 20) -> DataFrame:
     """Write classified rows below ``folder``; one manifest row per archive."""
-
     shipped(rows.sparkSession)
+    folder = _qualified(rows.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, done = None, []
         for batch in batches:
-            columns = [batch.column(n) for n in ("page_id", "url", "payload", "digest", "refers_to")]
+            columns = [batch.column(n) for n in _RECORDED]
             for values in zip(*columns, strict=True):
                 archive = archive or _Archive(folder, trained)
                 archive.add(_page_record(*(v.as_py() for v in values)))

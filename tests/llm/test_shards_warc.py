@@ -43,6 +43,19 @@ def test_shuffle_depends_on_the_seed_and_not_on_the_layout(spark):
     assert run(docs, 1) != run(docs, 2)
 
 
+def test_columns_of_any_name_pass_through(spark):
+    names = ["bucket", "order", "offset", "null_key", "key", "row", "rows", "run"]
+    docs = spark.createDataFrame([(k, f"t{k}", *(f"{n}{k}" for n in names)) for k in range(50)], ["doc_id", "text", *names])
+    out = shards.shuffled(docs, 3, 1).collect()
+    assert {tuple(r[n] for n in names) for r in out} == {tuple(f"{n}{k}" for n in names) for k in range(50)}
+    assert out[0].__fields__ == ["doc_id", "text", *names, *shards.OUTPUT]
+
+
+def test_very_long_texts(spark):
+    out = placed(spark, [(k, "ü" * (k * 1_000_000), "own", k) for k in range(4)], bucket_bytes=1 << 20)
+    assert sorted(r.size for r in out) == [2_000_000 * k + 16 for k in range(4)]
+
+
 def test_empty_table_has_no_shards(spark):
     assert shards.shuffled(spark.createDataFrame([], DOCS), 3, 1).count() == 0
 
@@ -89,10 +102,53 @@ def test_an_archive_starts_with_its_dictionary(spark):
             assert f.read(4) == (0x184D2A5D).to_bytes(4, "little")
 
 
+def test_dictionary_is_made_of_whole_records(spark):
+    rows = [(k, f"http://host/{k}", "<p>" + "".join(chr(97 + (k * j) % 26) for j in range(9000)) + f"</p><!-- tail of page {k % 3} -->", 0) for k in range(150)]
+    rows += [(1000 + k, f"http://host/{k}", rows[k][2], 0) for k in range(50)]
+    trained = warc.dictionary(spark.createDataFrame(rows, "page_id long, url string, html string, digest int"))
+    assert b"WARC-Payload-Digest: sha1:" in trained or b"WARC-Type: " in trained
+    assert b"revisit" in trained and b"tail of page" in trained
+
+
+def test_archives_lie_where_spark_resolves_their_folder(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", 0)], "page_id long, url string, html string, digest int")
+    manifest = warc.write(warc.classified(pages), scratch_path(spark, "test-warc"), b"").collect()
+    assert all(r.path.startswith("file:/") for r in manifest)
+
+
 def test_no_pages_no_archive(spark):
     assert archived(spark, []) == ([], [])
 
 
+def test_shuffle_query_by_brute_force(spark):
+    from seasonloom.llm import queries
+
+    folder = f"{os.environ.get('TEST_SF_ROOT', '/root/testdata')}/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in queries.table(spark, folder, "documents").collect()}
+    slots = {}
+    for r in queries.op4_external_shuffle(spark, folder).collect():
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id]), "rows", None)
+        slots.setdefault(r.shard, []).append(r.slot)
+    n = len(texts)
+    assert set(slots) <= set(range(40)) and sum(map(len, slots.values())) == n
+    assert all(sorted(s) == list(range(len(s))) and len(s) in (n // 40, -(-n // 40)) for s in slots.values())
+
+
+def test_archive_query_by_brute_force(spark):
+    from seasonloom.llm import queries
+
+    folder = f"{os.environ.get('TEST_SF_ROOT', '/root/testdata')}/sf0.001"
+    payload = {r.page_id: (r.html or "").encode() for r in queries.table(spark, folder, "pages").collect()}
+    largest = {}
+    for k, p in payload.items():
+        largest[p] = max(k, largest.get(p, k))
+    for r in queries.op8_warc(spark, folder).collect():
+        p = payload[r.page_id]
+        assert r.payload_bytes == len(p) and r.payload_digest == base64.b32encode(hashlib.sha1(p).digest()).decode()
+        first = largest[p] == r.page_id
+        assert (r.record_type, r.refers_to) == (("response", None) if first else ("revisit", largest[p]))
+
+
 @pytest.mark.parametrize("name", ["op4_external_shuffle", "op8_warc"])
 def test_registered_queries_cover_their_table(spark, name):
     from seasonloom.llm import queries
