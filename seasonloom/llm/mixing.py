@@ -30,6 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seasonloom.llm import rules
 from seasonloom.session import stage, unstage
 
 REPLAY = 60
@@ -73,15 +74,15 @@ class Classifier:
 
         # Bound through a one-element array, so that the words are hashed once.
         kept = docs.drop("n_tokens", "posterior")
-        rows = kept.withColumn("_sums", F.element_at(F.transform(F.array(hashed), sums), 1))
-        weight = F.lit(self.strength) / F.greatest(F.col("_sums.n").cast("double"), F.lit(self.strength))
-        rows = rows.withColumn(
-            "_log", F.zip_with("_sums.s", _numbers(self.prior), lambda s, prior: s * weight + prior)
-        )
-        rows = rows.withColumn("_odds", F.transform("_log", lambda x: F.exp(x - F.array_max("_log"))))
-        whole = F.aggregate("_odds", F.lit(0.0), lambda total, x: total + x)
-        rows = rows.withColumn("posterior", F.transform("_odds", lambda x: x / whole))
-        return rows.withColumn("n_tokens", F.col("_sums.n")).drop("_sums", "_log", "_odds")
+        # Helper columns under names that no column of the input has.
+        found, log, odds = (rules.free_name(n, docs.columns) for n in ("sums", "log", "odds"))
+        rows = kept.withColumn(found, F.element_at(F.transform(F.array(hashed), sums), 1))
+        weight = F.lit(self.strength) / F.greatest(F.col(f"{found}.n").cast("double"), F.lit(self.strength))
+        rows = rows.withColumn(log, F.zip_with(f"{found}.s", _numbers(self.prior), lambda s, prior: s * weight + prior))
+        rows = rows.withColumn(odds, F.transform(log, lambda x: F.exp(x - F.array_max(log))))
+        whole = F.aggregate(odds, F.lit(0.0), lambda total, x: total + x)
+        rows = rows.withColumn("posterior", F.transform(odds, lambda x: x / whole))
+        return rows.withColumn("n_tokens", F.col(f"{found}.n")).drop(found, log, odds)
 
 
 def classifier(

@@ -38,17 +38,22 @@ def op1_collision_counting(spark: SparkSession, folder: str) -> DataFrame:
     return collide.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The measures and failure bits of every document, stored once and read back."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return rules.load(spark, rules.store(rules.ledger(docs).drop("text"), scratch_path(spark, "rule-ledger")))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures, failure bits and verdict of every document under the latest policy."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    verdicts = rules.apply_policy(rules.ledger(docs), RULE_POLICY)
+    verdicts = rules.apply_policy(rule_ledger(spark, folder), RULE_POLICY)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return verdicts.select("doc_id", *counts, "base_failed", "kept", "fail_bits")
 
 
 def rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
-    """What each rule of each policy version decides over all documents."""
-    return rules.ablations(rules.ledger(table(spark, folder, "documents").select("text")))
+    """What each rule of each policy version decides over all documents, from the stored bits."""
+    return rules.ablations(rule_ledger(spark, folder))
 
 
 def op3_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,8 @@
 only the bits: a policy is a versioned bit mask, so a change of policy touches no text.
 ``ablations`` counts, per policy and rule, what the rule decides, from the counts of the
 different bit patterns (at most two to the number of rules, whatever the input).
+``store`` writes a ledger once, named after the rule set that made it, and ``load`` reads one
+that the present rules can interpret: policies and ablations then cost a scan of numbers.
 
 All of it is column expressions.  The three-word windows of a text are compared inside
 its row, through 64-bit hashes; nothing is exploded and the ledger needs no shuffle.
@@ -16,10 +18,11 @@ input column named like a measure is replaced by it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -99,27 +102,58 @@ def measures(text: Column) -> dict[str, Column]:
         F.regexp_replace(text, f"[^A-Z{SYMBOLS}]+", ""),
         lambda m: F.struct(whole(m).alias("n"), whole(F.regexp_replace(m, "[^A-Z]+", "")).alias("u")),
     )
-    return {"_words": counted, "_lines": seen, "_marks": marks}
+    return {"words": counted, "lines": seen, "marks": marks}
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """A column name that no given column has."""
+    while name in columns:
+        name += "_"
+    return name
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with its measures (long) and ``fail_bits`` (long)."""
-    named = docs.drop(*MEASURES, "fail_bits").withColumns(measures(F.col(f"`{text}`")))
+    kept = [c for c in docs.columns if c not in {*MEASURES, "fail_bits"}]
+    found = free_name("measured", docs.columns)
+    parts = [c.alias(name) for name, c in measures(F.col(f"`{text}`")).items()]
+    named = docs.select(*(F.col(f"`{c}`") for c in kept), F.struct(*parts).alias(found))
+    at = lambda path: F.col(f"{found}.{path}")
     counts = {
-        "n_words": F.col("_words.n"),
-        "word_chars": F.col("_words.c"),
-        "n_symbols": F.col("_marks.n") - F.col("_marks.u"),
-        "n_upper": F.col("_marks.u"),
-        "n_lines": F.col("_lines.n"),
-        "n_dup_lines": F.col("_lines.d"),
-        "n_repeat_words": F.col("_words.r"),
+        "n_words": at("words.n"),
+        "word_chars": at("words.c"),
+        "n_symbols": at("marks.n") - at("marks.u"),
+        "n_upper": at("marks.u"),
+        "n_lines": at("lines.n"),
+        "n_dup_lines": at("lines.d"),
+        "n_repeat_words": at("words.r"),
     }
-    named = named.withColumns({name: c.cast("long") for name, c in counts.items()})
-    named = named.drop("_words", "_lines", "_marks")
+    named = named.withColumns({name: c.cast("long") for name, c in counts.items()}).drop(found)
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
     return named.withColumn("fail_bits", reduce(Column.__add__, bits).cast("long"))
 
 
+def rule_set() -> str:
+    """A name of the present rules: their number and a digest of names and conditions, in order."""
+    text = "\n".join(f"{name}: {rule}" for name, rule in RULES.items())
+    return f"{len(RULES)}-{zlib.crc32(text.encode()):08x}"
+
+
+def store(ledger: DataFrame, folder: str) -> str:
+    """Write a ledger below ``folder`` under the name of the rule set; returns its path."""
+    path = f"{folder.rstrip('/')}/rules={rule_set()}"
+    ledger.write.parquet(path)
+    return path
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A stored ledger; bits of another rule set are refused, as they mean something else."""
+    made_by = path.rstrip("/").rpartition("/rules=")[2]
+    if made_by != rule_set():
+        raise ValueError(f"the ledger at {path} was made by the rules {made_by}, not {rule_set()}")
+    return spark.read.parquet(path)
+
+
 def failed(policy: str | Iterable[str], bits: str = "fail_bits") -> Column:
     """Whether any rule of the policy (a version, or rule names) fails."""
     names = POLICIES[policy] if isinstance(policy, str) else policy

@@ -88,3 +88,31 @@ def test_rows_are_replicated_by_rate(spark):
     count = {r.doc_id: r["count"] for r in mixing.replicated(rated).groupBy("doc_id").count().collect()}
     assert all(int(k % 4 * 0.75) <= count.get(k, 0) <= int(k % 4 * 0.75) + 1 for k in range(2000))
     assert sum(count.values()) == pytest.approx(2000 * 1.125, rel=0.05)
+
+
+def test_posteriors_by_brute_force_beside_columns_of_any_name(spark):
+    import math
+    import re
+
+    texts = ["ein Haus und ein Hund", "a house and a dog", None, "", "the dog the dog " * 30, "Haus"]
+    docs = spark.createDataFrame(
+        [(k, t, k, k + 1, k + 2) for k, t in enumerate(texts)], "doc_id long, text string, sums int, log int, odds int"
+    )
+    labelled = spark.createDataFrame([(0, "de"), (1, "en"), (4, "en"), (5, "de")], "doc_id long, domain string")
+    model = mixing.classifier(docs, labelled, ["en", "de"], buckets=64)
+    out = {r.doc_id: r for r in model.measured(docs).collect()}
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", t or "") for k, t in enumerate(texts)}
+    hashed = {w: int(h) for w, h in spark.createDataFrame([(w,) for ws in words.values() for w in set(ws)], "w string").select(
+        "w", F.pmod(F.xxhash64("w"), F.lit(64))).collect()}
+    counts = {"en": [0.5] * 64, "de": [0.5] * 64}
+    for k, domain in ((0, "de"), (1, "en"), (4, "en"), (5, "de")):
+        for w in words[k]:
+            counts[domain][hashed[w]] += 1
+    for k, ws in words.items():
+        score = []
+        for domain in ("en", "de"):
+            total = sum(math.log(counts[domain][hashed[w]] / sum(counts[domain])) for w in ws)
+            score.append(math.log(3 / 6) + total * 20 / max(len(ws), 20))
+        odds = [math.exp(x - max(score)) for x in score]
+        assert out[k].posterior == pytest.approx([o / sum(odds) for o in odds], rel=1e-5)
+        assert (out[k].n_tokens, out[k].sums, out[k].log, out[k].odds) == (len(ws), k, k + 1, k + 2)

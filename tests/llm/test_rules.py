@@ -45,3 +45,18 @@ def test_policies_and_ablations_read_bits_only(spark):
     assert (few.n_docs, few.n_kept, few.n_kept_without, few.n_only) == (7, 2, 3, 1)
     assert (symbols.n_kept_without, symbols.n_only) == (3, 1)
     assert rules.ablations(ledger.limit(0)).count() == 0
+
+
+def test_stored_ledger_is_versioned_and_read_without_texts(spark, monkeypatch):
+    from seasonloom.session import scratch_path
+
+    docs = spark.createDataFrame([(k, "word " * k, 1, 2, 3) for k in range(60)], "doc_id long, text string, _words int, _marks int, measured int")
+    path = rules.store(rules.ledger(docs).drop("text"), scratch_path(spark, "test-ledger"))
+    stored = rules.load(spark, path)
+    assert {"_words", "_marks", "measured"} <= set(stored.columns) and "text" not in stored.columns
+    measured = {r.doc_id: r.fail_bits for r in rules.ledger(docs).collect()}
+    assert {r.doc_id: r.fail_bits for r in stored.collect()} == measured
+    assert sorted(rules.ablations(stored).collect()) == sorted(rules.ablations(rules.ledger(docs)).collect())
+    monkeypatch.setitem(rules.RULES, "another", "n_words > 1000")
+    with pytest.raises(ValueError):
+        rules.load(spark, path)
