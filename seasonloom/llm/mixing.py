@@ -27,6 +27,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,10 +146,29 @@ def _numbers_row(values: Sequence[float]) -> str:
     return ",".join(repr(float(v)) for v in values)
 
 
-def _totals(measured: DataFrame, rate: Column, n: int) -> list[float]:
+def _totals(measured: DataFrame, rate: Column, n: int, least: float | None = None) -> tuple[list[float], np.ndarray]:
+    """Expected tokens per domain; and, given ``least``, their curvature over rates above it.
+
+    The curvature is the sum of tokens times posterior times posterior, domain by domain: how
+    much the totals move with a step along the posteriors that no bound holds back.
+    """
     rows = measured.select(F.col("n_tokens").alias("n"), F.col("posterior").alias("p"), rate.alias("r"))
-    sums = [F.sum(F.col("n") * F.col("r") * F.get("p", F.lit(k))).alias(f"t{k}") for k in range(n)]
-    return [x or 0.0 for x in rows.agg(*sums).first()]
+    p = [F.get("p", F.lit(k)) for k in range(n)]
+    sums = [F.sum(F.col("n") * F.col("r") * p[k]).alias(f"t{k}") for k in range(n)]
+    pairs = [(k, j) for k in range(n) for j in range(k, n)] if least is not None else []
+    free = F.when(F.col("r") > F.lit(least), F.col("n")) if pairs else None
+    sums += [F.sum(free * p[k] * p[j]).alias(f"c{k}_{j}") for k, j in pairs]
+    found = [x or 0.0 for x in rows.agg(*sums).first()]
+    curvature = np.zeros((n, n))
+    for (k, j), x in zip(pairs, found[n:], strict=True):
+        curvature[k, j] = curvature[j, k] = x
+    return found[:n], curvature
+
+
+def _scaled(error: list[float], curvature: np.ndarray, one: list[float]) -> list[float]:
+    """The step along the posteriors that would take the totals to their targets at once."""
+    held = curvature + np.diag([1e-9 * max(o, 1e-300) for o in one])
+    return np.linalg.solve(held, np.array(error)).tolist()
 
 
 def fit(
@@ -159,6 +179,7 @@ def fit(
     steps: int = 20_000,
     tolerance: float = 1e-6,
     must_converge: bool = True,
+    scaled: bool = False,
 ) -> Rates:
     """Rates for staged rows of ``n_tokens`` and ``posterior`` (in the order of ``weights``).
 
@@ -167,13 +188,29 @@ def fit(
     It ends when no total moves by more than ``tolerance`` of itself.  If ``steps`` did not
     suffice it raises, or is only marked with ``must_converge`` off.  Rates are written every
     ``REPLAY`` steps, so that a step's cost does not grow with the steps before it.
+
+    Each step is one pass.  A plain gradient step divides each domain's error by its tokens;
+    soft posteriors then need hundreds.  ``scaled`` divides by the curvature that the same
+    pass measures over the documents whose rates may still move, halves a step that does not
+    bring the totals closer, and takes the plain step where halving does not help: a few to
+    a few tens of passes.
     """
     share = [w / sum(weights.values()) for w in weights.values()]
-    one = _totals(measured, F.lit(1.0), len(share))
+    bound = least if scaled else None
+    one, curvature = _totals(measured, F.lit(1.0), len(share), bound)
+    if scaled and least >= 1:
+        # Every rate starts at the bound, from which the first step may move all of them.
+        curvature = _totals(measured, F.lit(1.0), len(share), -1.0)[1]
     if budget is None:
         budget = sum(one) if least < 1 else max((t / s for t, s in zip(one, share, strict=True) if s), default=0.0)
     result = Rates(least, [s * budget for s in share])
+    error = lambda totals: [e - t for e, t in zip(totals, result.targets, strict=True)]
+    apart = lambda totals: sum((x / o) ** 2 for x, o in zip(error(totals), one, strict=True) if o)
     at, rows, done = one, measured, 0
+
+    def totals() -> tuple[list[float], np.ndarray]:
+        return _totals(rows, result.column(since=done), len(share), bound)
+
     for _ in range(steps):
         if len(result.gradients) - done == REPLAY:
             rate = result.column(since=done).alias("rate")
@@ -181,11 +218,20 @@ def fit(
             if done:
                 unstage(before)
             done = len(result.gradients)
-        gradient = [(e - t) / o if o else 0.0 for e, t, o in zip(at, result.targets, one, strict=True)]
-        result.gradients.append(gradient)
-        new = _totals(rows, result.column(since=done), len(share))
+        plain = [x / o if o else 0.0 for x, o in zip(error(at), one, strict=True)]
+        step = _scaled(error(at), curvature, one) if scaled else plain
+        result.gradients.append(step)
+        new, bent = totals()
+        for _ in range(6 if scaled else 0):
+            if apart(new) <= apart(at):
+                break
+            result.gradients[-1] = [x / 2 for x in result.gradients[-1]]
+            new, bent = totals()
+        if scaled and apart(new) > apart(at):
+            result.gradients[-1] = plain
+            new, bent = totals()
         moved = max((abs(a - b) / max(abs(b), 1e-9) for a, b in zip(new, at, strict=True)), default=0.0)
-        at = new
+        at, curvature = new, bent
         if moved <= tolerance:
             result.converged = True
             break

@@ -140,7 +140,7 @@ def op9_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = mixing.classifier(docs, language_labels(spark, folder, docs), list(LANGUAGE_WEIGHTS))
     measured = stage(model.measured(docs).select("doc_id", "n_tokens", "posterior"), "mixing")
-    rates = mixing.fit(measured, LANGUAGE_WEIGHTS)
+    rates = mixing.fit(measured, LANGUAGE_WEIGHTS, scaled=True)
     share = [F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(LANGUAGE_WEIGHTS)]
     return measured.select("doc_id", "n_tokens", *share, rates.column().alias("rate"))
 

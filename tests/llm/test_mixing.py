@@ -116,3 +116,27 @@ def test_posteriors_by_brute_force_beside_columns_of_any_name(spark):
         odds = [math.exp(x - max(score)) for x in score]
         assert out[k].posterior == pytest.approx([o / sum(odds) for o in odds], rel=1e-5)
         assert (out[k].n_tokens, out[k].sums, out[k].log, out[k].odds) == (len(ws), k, k + 1, k + 2)
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+@pytest.mark.parametrize("softness", [0.05, 0.3, 0.5])
+def test_scaled_steps_reach_the_targets_in_few_passes(spark, least, softness):
+    rng = np.random.default_rng(8)
+    domain = rng.choice(4, size=600, p=[0.01, 0.02, 0.3, 0.67])
+    p = np.full((600, 4), softness / 4)
+    p[np.arange(600), domain] += 1 - softness
+    n = rng.integers(1, 900, size=600)
+    rows = [(int(a), b.tolist()) for a, b in zip(n, p, strict=True)]
+    measured = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+    rates = mixing.fit(measured, {"a": 0.2, "b": 0.2, "c": 0.2, "d": 0.4}, least=least, scaled=True)
+    assert rates.converged and len(rates.gradients) <= 40
+    assert min(r[0] for r in measured.select(rates.column()).collect()) >= least
+    if least == 0:
+        assert np.allclose(rates.totals, rates.targets, rtol=1e-4)
+
+
+def test_scaled_steps_without_documents_or_domains(spark):
+    schema = "n_tokens long, posterior array<double>"
+    for rows in ([], [(0, [0.5, 0.5])], [(10, [1.0, 0.0])]):
+        rates = mixing.fit(spark.createDataFrame(rows, schema), {"a": 1, "b": 1}, scaled=True)
+        assert rates.converged
