@@ -51,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), "text")
     # Measured once, beside the rows; the fit reads the two columns it needs.
     measured = stage(model.measured(rows).select("row", "n_tokens", "posterior"), "pipeline-posteriors")
-    rates = mixing.fit(measured, queries.LANGUAGE_WEIGHTS, least=1.0)
+    rates = mixing.fit(measured, queries.LANGUAGE_WEIGHTS, least=1.0, scaled=True)
     rated = measured.select("row", rates.column().alias("rate"))
     return mixing.replicated(rated, key="row").select("row.*")
 
