@@ -167,8 +167,10 @@ def _totals(measured: DataFrame, rate: Column, n: int, least: float | None = Non
 
 def _scaled(error: list[float], curvature: np.ndarray, one: list[float]) -> list[float]:
     """The step along the posteriors that would take the totals to their targets at once."""
-    held = curvature + np.diag([1e-9 * max(o, 1e-300) for o in one])
-    return np.linalg.solve(held, np.array(error)).tolist()
+    # Domains without tokens cannot be moved, and those that move together share the step.
+    size = np.sqrt(np.array([o if o > 0 else np.inf for o in one]))
+    step = np.linalg.lstsq(curvature / np.outer(size, size), np.array(error) / size, rcond=1e-9)[0]
+    return (step / size).tolist()
 
 
 def fit(
