@@ -1,7 +1,8 @@
 """Grouped reductions with explicit missing-value and tie rules.
 
 All of them combine map-side, so a key that holds a large share of the rows
-reaches the shuffle as a few partial results.
+reaches the shuffle as a few partial results.  A minimum over text (``at_largest``)
+is combined by sorting a task's rows first, as Spark hashes numbers only.
 """
 
 from __future__ import annotations
