@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -66,3 +67,20 @@ def test_one_class_or_no_label(spark):
     assert {r.score for r in crf.score(docs, crf.train(docs, none)).collect()} == {0.5}
     good = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, quality int")
     assert {r.score for r in crf.score(docs, crf.train(docs, good)).collect()} == {1.0}
+
+
+def test_short_ids_hot_ids_and_struct_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(k, "a plain line of words\n" * 900 if k % 2 else "### $$$ !!\n" * 900) for k in range(1, 30)] + [(1, "copy of one\n")] * 50
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id int, quality int")
+    seen = []
+    original = crf.fit
+    monkeypatch.setattr(crf, "fit", lambda parts, chain: seen.extend(parts) or original(parts, chain, steps=5))
+    model = crf.train(docs, labels, sample_lines=64)
+    learned = [k for k in range(1, 30) if zlib.crc32(str(k).encode()) % 5]
+    assert len(seen) == len(learned) and max(len(lines) for _, lines in seen) <= 64
+    plain = sorted((r.doc_id, r.score) for r in crf.score(docs, model).collect())
+    packed = crf.score(docs.select(F.struct("*").alias("row")), model, "row.text")
+    assert sorted((r.row.doc_id, r.score) for r in packed.collect()) == plain
