@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from seasonloom.llm.shipping import shipped
+from seasonloom.session import stage, unstage
 
 SKIPPABLE = 0x184D2A5D  # the frame type reserved for a dictionary
 DATE = "1970-01-01T00:00:00Z"
@@ -90,7 +91,11 @@ def dictionary(
     import zstandard
 
     shipped(pages.sparkSession)
-    sample = pages.orderBy(F.xxhash64(F.col("page_id").cast("long"), F.col("html").cast("string"))).limit(sample_rows)
+    rows = pages.select("page_id", "url", "html")
+    rows = rows.withColumn("mark", F.xxhash64(F.col("page_id").cast("long"), F.col("html").cast("string")))
+    # Chosen by their hashes alone, and written out, so that the join need not move the pages.
+    marks = stage(rows.select("mark").distinct().orderBy("mark").limit(sample_rows), "warc-sample")
+    sample = rows.join(marks, "mark").dropDuplicates(["mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,6 +110,7 @@ def dictionary(
     records = classified(sample).select(_RECORDED).mapInArrow(run, "piece binary")
     try:
         cut = sorted(bytes(r.piece) for r in records.collect())
+        unstage(marks)
         return zstandard.train_dictionary(size, cut, threads=0).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
