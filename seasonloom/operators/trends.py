@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seasonloom.operators.joins import left_join
-from seasonloom.session import stage
+from seasonloom.session import stage, unstage
 
 # Symmetric 2 x 2 matrices are kept as columns 11, 12 and 22.
 _SYM = ("11", "12", "22")
@@ -204,7 +204,11 @@ class _NestedSums:
 
     def __init__(self, df: DataFrame, y: str, x: str, outer: str, inner: str):
         self.outer, self.inner = outer, inner
-        raw = stage(line_sums(df, [outer, inner], y, x), "trend-sums")
+        scattered = stage(line_sums(df, [outer, inner], y, x), "trend-sums")
+        # In ranges of the keys: an outer group lies in one file, or in a few neighbours if it
+        # is large, so that every job on the sums combines it before the shuffle.
+        raw = stage(scattered.repartitionByRange(outer, inner), "trend-ranges")
+        unstage(scattered)
         total = raw.agg(
             F.sum("n").alias("n"),
             (F.sum(F.col("n") * F.col("mean_x")) / F.sum("n")).alias("x"),

@@ -362,3 +362,23 @@ def test_failing_line_search_keeps_the_accepted_point(spark, monkeypatch):
     monkeypatch.setattr(survival, "_score", lambda r, z, b: (score(r, z, b) if not b.any() else (-math.inf, b, np.eye(len(b)))))
     fit = cox_fit(rows, "time", F.col("hit"), {"x": F.col("x")}, must_converge=False)
     assert not fit.converged and fit.coef.tolist() == [0.0] and fit.loglik == fit.loglik_null
+
+
+def test_inner_sums_lie_together_by_outer_group(spark):
+    # So a job on the sums shuffles about one partial row per outer group and point, on any number
+    # of files; the large outer group spans neighbouring files.
+    games = spark.range(6000).selectExpr(
+        "if(id < 3000, 0, 1 + id % 300) as pitcher", "id as game", "explode(array(1, 2, 4)) as number"
+    )
+    rows = games.withColumn("speed", 90 + F.col("number") * (F.col("pitcher") % 5) + F.col("game") % 7)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        sums = trends._NestedSums(rows, "speed", "number", "pitcher", "game")
+    finally:
+        spark.conf.unset(name)
+    placed = sums.games.select("pitcher", F.input_file_name().alias("file")).distinct().collect()
+    files = {r.file for r in placed}
+    assert len(files) > 4 and sums.games.count() == 6000
+    assert len(placed) <= 301 + len(files) - 1
+    assert len({r.file for r in placed if r.pitcher == 0}) > 1
