@@ -43,16 +43,20 @@ def _source_columns(source: Column, tag: str) -> list[Column]:
     """Volume and velocity of one source within a player-season group.
 
     One row per source is expected and passes through untouched.  Duplicates
-    add up their pitches and average their velocity by volume.
+    add up their pitches and average their velocity by volume.  Everything comes
+    from four aggregates a source, as a task holds them for all its player-seasons.
     """
     velo = F.when(source, F.col("fb_velo"))
-    weight = F.when(source, F.coalesce(F.col("pitches"), F.lit(0)))
-    volume = F.sum(weight)
+    pitches = F.sum(F.when(source, F.col("pitches")))
+    volume, rows = F.coalesce(pitches, F.lit(0)), F.count(velo)
+    # The only velocity, or the sum of several.
+    total = F.sum(velo)
+    weight = F.coalesce(F.col("pitches"), F.lit(0))
     return [
-        F.sum(F.when(source, F.col("pitches"))).cast("double").alias(f"pitches_{tag}"),
-        F.when(F.count(velo) == 1, F.max(velo))
+        pitches.cast("double").alias(f"pitches_{tag}"),
+        F.when(rows == 1, total)
         .when(volume > 0, F.sum(weight * velo) / volume)
-        .otherwise(F.avg(velo))
+        .otherwise(F.try_divide(total, rows))
         .alias(f"fb_velo_{tag}"),
     ]
 

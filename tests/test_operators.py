@@ -250,6 +250,20 @@ def test_vendor_rules(spark):
     assert got[7] == (40.0, pytest.approx(91.5))
 
 
+def test_vendor_grouping_holds_few_values(spark):
+    # A task holds these for all its player-seasons: four a source, and the same values as before.
+    he = [(1, 2010, 10, 90.0), (2, 2010, None, 91.0), (3, 2010, 0, 90.0), (3, 2010, 0, 90.5),
+          (4, 2010, 10, 90.0), (4, 2010, 30, 92.0), (5, 2010, None, 90.0), (5, 2010, 20, 92.0)]
+    _, minors = tracking.tagged_sources(*_tracking(spark, [], he, []))
+    wide = tracking.spread_by_vendor(minors)
+    assert wide._jdf.queryExecution().executedPlan().toString().count("partial_") == 8
+    got = {r.player_id: (r.pitches_he, r.fb_velo_he, r.pitches_tm, r.fb_velo_tm) for r in wide.collect()}
+    assert got == {
+        1: (10.0, 90.0, None, None), 2: (None, 91.0, None, None), 3: (0.0, 90.25, None, None),
+        4: (40.0, 91.5, None, None), 5: (20.0, 92.0, None, None),
+    }
+
+
 def test_fused_tracking_equals_steps(spark):
     rng = random.Random(4)
     sources = _tracking(spark, *(_source_rows(rng, 60) for _ in range(3)))
