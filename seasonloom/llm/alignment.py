@@ -11,8 +11,10 @@ in it; an end that both lists share may lie on the border of two pieces, and is
 look at the last end before the piece.  Shared ends of all pieces delimit the groups.
 
 A slice keeps its different id pairs with totals, and which text holds which pair how often.
-Pair totals are added over all slices.  Only a slice's different pairs meet the corpus counts,
-so the most frequent pair of a corpus costs a slice one row however many texts hold it.
+It travels as rows of bounded size, stored in small row groups, as readers and writers hold a
+group at once.  Pair totals are added over all slices.  Only a slice's different pairs meet the
+corpus counts, so the most frequent pair of a corpus costs a slice one row however many texts
+hold it.
 
 Defined cases: a text that is null or empty, or whose A or B tokens do not spell space and
 text (one that spells the mark U+2581, say), has no tokens: zeros and an empty digest string.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seasonloom.llm import pieces
-from seasonloom.llm.bytetext import SEPARATORS, joined, ragged, slices, spans
+from seasonloom.llm.bytetext import SEPARATORS, joined, ragged, released, slices, spans
 from seasonloom.llm.shipping import shipped
 from seasonloom.session import stage, unstage
 
@@ -48,6 +50,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _LATIN = 0xCD
 _LONG = 512
 _LOW = (1 << 32) - 1
+# Entries of a slice's lists in one row, and bytes of a row group of such rows.
+_ENTRIES = 1 << 14
+_ROW_GROUP = 8 << 20
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -236,8 +241,16 @@ def aligner(byte_level: str, piece_model: str) -> Aligner:
 _PER_TEXT = ["n_a", "n_b", "n_groups", "n_links"]
 
 
-def _aligned(part: pa.RecordBatch, tool: Aligner, name: int) -> list[pa.Array]:
-    """One row for a slice of (doc_id, text)."""
+def _cut(values: pa.Array, rows: int) -> pa.ListArray:
+    """Values dealt over rows in order, about equally many to each."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * len(values) // rows, pa.int32()), values)
+
+
+def _aligned(part: pa.RecordBatch, tool: Aligner, name: int, entries: int) -> list[pa.Array]:
+    """Rows for a slice of (doc_id, text); none holds more than ``entries`` of any list.
+
+    Every list of the slice is cut over its rows in order, each for itself.
+    """
     texts = [t or "" for t in part.column(1).to_pylist()]
     a, b, end_a, end_b, n_a, n_b = tool.encoded(texts)
     link_a, link_b, cut_a, cut_b = merged(end_a, end_b)
@@ -250,23 +263,26 @@ def _aligned(part: pa.RecordBatch, tool: Aligner, name: int) -> list[pa.Array]:
     first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1]))) if len(packed) else packed
     held = packed[first]
     count = lambda x: np.bincount(x, minlength=len(texts))
-    whole = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-    ids = part.column(0)
+    rows = max(1, -(-max(len(texts), len(held)) // entries))
+    cut = lambda x, kind: _cut(pa.array(x, kind), rows)
     return [
-        pa.array([name], pa.int64()),
-        pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-        *(whole(x, pa.int64()) for x in (n_a, n_b, count(text_of[cut_a]), count(owner))),
-        whole(sha, pa.string()),
-        whole(pair, pa.int64()),
-        whole(np.bincount(code, minlength=len(pair)).astype(np.int64), pa.int64()),
-        whole(count(held >> width).astype(np.int32), pa.int32()),
-        whole((held & ((1 << width) - 1)).astype(np.int32), pa.int32()),
-        whole(np.diff(np.append(first, len(packed))).astype(np.int32), pa.int32()),
+        pa.array([name] * rows, pa.int64()),
+        pa.array(range(rows), pa.int32()),
+        pa.array(np.arange(rows) * len(pair) // rows, pa.int64()),
+        _cut(part.column(0), rows),
+        *(cut(x, pa.int64()) for x in (n_a, n_b, count(text_of[cut_a]), count(owner))),
+        cut(sha, pa.string()),
+        cut(pair, pa.int64()),
+        cut(np.bincount(code, minlength=len(pair)).astype(np.int64), pa.int64()),
+        cut(count(held >> width).astype(np.int32), pa.int32()),
+        cut((held & ((1 << width) - 1)).astype(np.int32), pa.int32()),
+        cut(np.diff(np.append(first, len(packed))).astype(np.int32), pa.int32()),
     ]
 
 
 def _sums(rows: pa.Table, known: pa.Table) -> pa.Table:
     """Texts of a slice with their links' counts; ``known`` holds its pairs' (pos, n, best)."""
+    rows = rows.take(pa.array(np.argsort(rows["row"].to_numpy())))
     flat = lambda t, k: t[k].combine_chunks().to_numpy(zero_copy_only=False)
     inner = lambda k: rows[k].combine_chunks().flatten()
     n = np.zeros(known.num_rows, dtype=np.int64)
@@ -282,7 +298,9 @@ def _sums(rows: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table(columns)
 
 
-def align(docs: DataFrame, byte_level: str, piece_model: str, slice_bytes: int = 2 << 20) -> DataFrame:
+def align(
+    docs: DataFrame, byte_level: str, piece_model: str, slice_bytes: int = 2 << 20, entries: int = _ENTRIES
+) -> DataFrame:
     """Per row ``doc_id``, token, group and link counts, ``n_best``, ``count_sum`` and the groups' digest."""
     shipped(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -290,7 +308,8 @@ def align(docs: DataFrame, byte_level: str, piece_model: str, slice_bytes: int =
     per = lambda kind: T.ArrayType(kind)
     longs, ints = per(T.LongType()), per(T.IntegerType())
     schema = T.StructType(
-        [T.StructField("slice", T.LongType()), T.StructField("doc_id", per(key))]
+        [T.StructField("slice", T.LongType()), T.StructField("row", T.IntegerType()), T.StructField("first", T.LongType())]
+        + [T.StructField("doc_id", per(key))]
         + [T.StructField(k, longs) for k in _PER_TEXT]
         + [T.StructField("groups_sha256", per(T.StringType())), T.StructField("pair", longs), T.StructField("total", longs)]
         + [T.StructField(k, ints) for k in ("held", "code", "times")]
@@ -299,25 +318,26 @@ def align(docs: DataFrame, byte_level: str, piece_model: str, slice_bytes: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(byte_level, piece_model)
         name = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, 1, slice_bytes):
-                yield pa.RecordBatch.from_arrays(_aligned(part, tool, name), schema.fieldNames())
+                yield pa.RecordBatch.from_arrays(_aligned(part, tool, name, entries), schema.fieldNames())
                 name += 1
 
-    rows = stage(docs.mapInArrow(run, schema), "alignment-slices")
+    rows = stage(docs.mapInArrow(run, schema), "alignment-slices", row_group=_ROW_GROUP)
     totals = rows.select(F.explode(F.arrays_zip("pair", "total")).alias("t"))
     counts = totals.groupBy(F.col("t.pair").alias("pair")).agg(F.sum("t.total").alias("n"))
     counts = counts.withColumn("b", F.col("pair").bitwiseAND(F.lit(_LOW)))
     most = counts.groupBy("b").agg(F.max("n").alias("most"))
     counts = counts.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
     counts = stage(counts, "alignment-counts")
-    known = rows.select(F.col("slice").alias("of"), F.posexplode("pair").alias("pos", "pair")).join(counts, "pair")
+    known = rows.select(F.col("slice").alias("of"), "first", F.posexplode("pair").alias("at", "pair"))
+    known = known.withColumn("pos", F.col("first") + F.col("at")).join(counts, "pair")
     result = T.StructType(
         [T.StructField("doc_id", key)]
         + [T.StructField(k, T.LongType()) for k in (*_PER_TEXT, "n_best", "count_sum")]
         + [T.StructField("groups_sha256", T.StringType())]
     )
-    kept = rows.drop("pair", "total").groupBy("slice")
+    kept = rows.drop("first", "pair", "total").groupBy("slice")
     done = kept.cogroup(known.select("of", "pos", "n", "best").groupBy("of")).applyInArrow(_sums, result)
     done = stage(done, "alignment")
     unstage(rows, counts)

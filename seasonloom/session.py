@@ -55,22 +55,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write_once(df: DataFrame, path: str) -> None:
+def write_once(df: DataFrame, path: str, row_group: int | None = None) -> None:
     """Write ``df`` as Parquet and let Spark delete the write's shuffle files when it is done.
 
     Without that they stay until the driver happens to collect garbage, so a chain of staged
-    steps would hold the shuffles of all of them on disk.
+    steps would hold the shuffles of all of them on disk.  ``row_group`` is the size in bytes of
+    a row group, which writers and vectorised readers hold at once (Parquet's default if None).
     """
     conf = df.sparkSession.conf
     before = conf.get(_CLEANUP, None)
     conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write if row_group is None else df.write.option("parquet.block.size", row_group)).parquet(path)
     finally:
         conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, row_group: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Used where a frame feeds several jobs: later readers prune columns, and a
@@ -78,7 +79,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     ``unstage`` removes the files once nothing reads the frame any more.
     """
     path = scratch_path(df.sparkSession, label)
-    write_once(df, path)
+    write_once(df, path, row_group)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged.staged_at = path
     return staged

@@ -2,11 +2,15 @@ import hashlib
 import os
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from seasonloom.llm import alignment, queries
@@ -147,3 +151,45 @@ def test_repeated_ids_and_further_columns(spark, tools):
     assert sorted(tuple(r[n] for n in NAMES) for r in rows) == sorted(expected)
     assert sorted(r.doc_id for r in rows if r.doc_id) == [1, 1]
     assert alignment.align(docs.limit(0), A, B).count() == 0
+
+
+def test_slices_are_stored_in_bounded_rows_and_row_groups(spark, tools, monkeypatch):
+    """However many texts a task reads, neither a row nor a row group grows with them."""
+    sizes, groups, stage = [], [], alignment.stage
+
+    def seen(df, label, **options):
+        staged = stage(df, label, **options)
+        if label == "alignment-slices":
+            lists = [F.max(F.size(n)) for n, kind in staged.dtypes if kind.startswith("array")]
+            sizes.append((staged.count(), staged.select("slice").distinct().count(), max(staged.select(*lists).first())))
+            for file in Path(staged.staged_at.removeprefix("file:")).glob("*.parquet"):
+                parts = pq.ParquetFile(file).metadata
+                groups.extend(parts.row_group(k).num_rows for k in range(parts.num_row_groups))
+        return staged
+
+    monkeypatch.setattr(alignment, "stage", seen)
+    monkeypatch.setattr(alignment, "_ROW_GROUP", 1 << 12)
+    assert _got(spark, TEXTS, entries=7) == plain(TEXTS, tools)
+    words = random.Random(5).sample("abcdefghijklmnopqrstuvwxyz" * 400, 4000)
+    texts = [" ".join("".join(words[k + i : k + i + 4]) for i in range(0, 400, 4)) for k in range(0, 3600, 90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = sorted(alignment.align(docs, A, B, entries=20).collect())
+    assert [tuple(r[n] for n in NAMES) for r in rows] == plain(texts, tools)
+    assert [n for *_, n in sizes] == [7, 20]
+    n_rows, n_slices, _ = sizes[-1]
+    assert n_slices == 1 and n_rows > 200 and sum(groups) == sum(n for n, *_ in sizes)
+    assert max(groups) <= 200
+
+
+def test_default_rows_of_a_large_slice(tools):
+    tool = alignment.aligner(A, B)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000)) for _ in range(12)]
+    part = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts)], ["doc_id", "text"])
+    slice_, row, first, doc_id, *lists = alignment._aligned(part, tool, 5, alignment._ENTRIES)
+    n_rows = len(row)
+    assert n_rows > 1 and set(slice_.to_pylist()) == {5} and row.to_pylist() == list(range(n_rows))
+    assert doc_id.flatten().to_pylist() == list(range(12))
+    assert all(max(x.value_lengths().to_pylist()) <= alignment._ENTRIES for x in (doc_id, *lists))
+    pair = lists[5]
+    assert first.to_pylist() == [0, *np.cumsum(pair.value_lengths().to_pylist())[:-1].tolist()]
